@@ -1,10 +1,59 @@
-"""The corpus pipeline: toxicity, language, exact and near duplicates, then packing."""
+"""The corpus pipeline: toxicity, language, exact and near duplicates, then packing.
+
+Each stage takes ``(spark, docs, sf_dir)`` and works on all that the one before kept. ``run``
+writes every stage's rows as Parquet in the shared folder and reads them again for the next.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from waymark.llm import dedup, langid, packing, simhash, toxicity
+from waymark.session import shared_dir
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: texts whose calibrated toxicity is a half or more go."""
+    model = toxicity.train(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return toxicity.clean(docs, model)
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: texts without a letter, or in none of the learned languages, go."""
+    return langid.known(docs, langid.fit(langid.training_rows(_table(spark, sf_dir, "documents"))))
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: of equal texts the row with the largest id stays."""
+    return dedup.mark(docs).where("kept").select("row.*")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: of each group of linked fingerprints the document with the smallest id stays."""
+    found = simhash.near_duplicates(docs)
+    return docs.join(found.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: the kept documents as packed sequences."""
+    return packing.packed(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("language", keep_known_languages), ("exact dedup", drop_exact_copies), ("near dedup", drop_near_copies), ("packing", pack)]
+#: Learned models and a Hamming join over fingerprints are not SQL; a brute-force version tests it.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of all documents that the filters and both deduplications keep."""
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        folder = shared_dir(spark, f"pipeline-{name.replace(' ', '-')}")
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+    return STAGES[-1][1](spark, docs, sf_dir)

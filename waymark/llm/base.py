@@ -80,3 +80,17 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, per_label: dict[st
     picked = sample(named, F.col("label"), per_label, seed).select("doc_id", "label")
     rows = texts(docs).where(F.length("text").between(1, max_chars)).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label").collect()
     return sorted((r[0], r[1], r[2]) for r in rows)
+
+
+def keep_rows(docs: DataFrame, keep: Callable[[list[str | None]], list[bool]], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text ``keep`` accepts."""
+    ship(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pair = pa.RecordBatch.from_arrays([batch.column(at), batch.column(at)], ["id", "text"])
+            mask = [k for _, values in slices(pair) for k in keep(values)]
+            yield batch.filter(pa.array(mask, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

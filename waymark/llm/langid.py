@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import map_texts, remainder, sample, texts
+from .base import keep_rows, map_texts, remainder, sample, texts
 
 WINDOW = 128
 #: Bounds of the training sample: documents of each language, and characters of each document.
@@ -233,6 +233,22 @@ def identify(docs: DataFrame, model: tuple[list[str], dict], id_col: str = "doc_
     return map_texts(texts(docs, id_col, text_col), label, SCHEMA)
 
 
+#: Below this mean probability of the best language, a text is in none of the learned ones.
+CONFIDENT = 0.4
+
+
+def known(docs: DataFrame, model: tuple[list[str], dict], text_col: str = "text", confident: float = CONFIDENT) -> DataFrame:
+    """The rows of ``docs``, unchanged, that are in one of the learned languages; ``und`` goes."""
+    langs, net = model
+
+    def keep(values: list[str | None]) -> list[bool]:
+        letters = [bool(langs) and bool(v) and LETTER.search(v) is not None for v in values]
+        p = document_probabilities(net, [v if k else None for v, k in zip(values, letters, strict=True)]).max(axis=1)
+        return [k and bool(x >= confident) for k, x in zip(letters, p, strict=True)]
+
+    return keep_rows(docs, keep, text_col)
+
+
 def predictions(docs: DataFrame) -> DataFrame:
     """Fit on the learnable rows of ``docs`` and predict every row: the contract's columns."""
     out = identify(docs, fit(training_rows(docs)))

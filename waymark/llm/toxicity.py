@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import labelled, map_texts, remainder, texts
+from .base import keep_rows, labelled, map_texts, remainder, texts
 from .trees import Boosted, boost, isotonic
 
 #: Bounds of the training sample: rows of each label, and characters of a text.
@@ -212,6 +212,19 @@ def score(docs: DataFrame, model: tuple[Lexicon, Boosted], id_col: str = "doc_id
     return map_texts(texts(docs, id_col, text_col), run, SCHEMA)
 
 
+def clean(docs: DataFrame, model: tuple[Lexicon, Boosted], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, unchanged, whose score is below ``threshold``; null and empty texts stay."""
+    lexicon, trees = model
+    memos: list[Memo] = []
+
+    def keep(values: list[str | None]) -> list[bool]:
+        if not memos:
+            memos.append(Memo(lexicon))
+        return [bool(p < threshold) or not v for v, p in zip(values, trees.probability(features(values, memos[0])), strict=True)]
+
+    return keep_rows(docs, keep, text_col)
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: dict[str, int] | None = None) -> tuple[Lexicon, Boosted]:
     """Fit on the learnable labelled rows."""
     return fit(labelled(docs, labels, "toxic", rows or TRAIN_ROWS, TRAIN_CHARS, FOLDS, HELD_OUT))
