@@ -24,7 +24,7 @@ def remainder(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds))
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str | None]]]:
+def slices(batch: pa.RecordBatch, chars: int = SLICE_CHARS) -> Iterator[tuple[pa.Array, list[str | None]]]:
     """Ids and texts of a batch in slices of bounded rows and characters."""
     ids, col = batch.column(0), batch.column(1)
     start, size = 0, 0
@@ -33,20 +33,20 @@ def slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str | None]]]
         t = col[i].as_py()
         out.append(t)
         size += len(t) if t else 0
-        if len(out) >= SLICE_ROWS or size >= SLICE_CHARS:
+        if len(out) >= SLICE_ROWS or size >= chars:
             yield ids.slice(start, len(out)), out
             start, size, out = i + 1, 0, []
     if out:
         yield ids.slice(start, len(out)), out
 
 
-def map_texts(df: DataFrame, fn: Callable[[pa.Array, list[str | None]], pa.RecordBatch], schema: str) -> DataFrame:
+def map_texts(df: DataFrame, fn: Callable[[pa.Array, list[str | None]], pa.RecordBatch], schema: str, chars: int = SLICE_CHARS) -> DataFrame:
     """Apply ``fn(ids, texts)`` to slices of ``(doc_id, text)`` rows, in Arrow batches."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, values in slices(batch):
+            for ids, values in slices(batch, chars):
                 yield fn(ids, values)
 
     return df.mapInArrow(run, schema)

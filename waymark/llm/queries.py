@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dedup, langid, media, packing, quality, simhash, toxicity, warc
+from . import dedup, langid, media, packing, quality, sampling, simhash, toxicity, warc, wordpiece
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.facts(table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -27,6 +31,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,5 +51,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op3_warc, op4_lossless_webp, op5_toxicity, op7_quality, op8_best_two_fit, op9_exact_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_sampled_pieces, op3_warc, op4_lossless_webp, op5_toxicity, op6_token_counts, op7_quality, op8_best_two_fit, op9_exact_dedup, op10_language_id)}
 SQL = {"op3_warc": warc.SQL, "op9_exact_dedup": dedup.SQL}
