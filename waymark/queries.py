@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from waymark.catalog import QUERIES, SQL, vectors
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL", "vectors"]
