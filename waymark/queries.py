@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from waymark.catalog import QUERIES, SQL, vectors
+from waymark.catalog import QUERIES, SQL, demand, vectors
 
-__all__ = ["QUERIES", "SQL", "vectors"]
+__all__ = ["QUERIES", "SQL", "demand", "vectors"]
