@@ -13,18 +13,18 @@ from . import query, table
 # per query at search widths 10, 20, 40, 80, 160 and 320.
 WIDTHS = (10, 20, 40, 80, 160, 320)
 FRONTIERS = """
-coveo baseline 75.76 45.37 84.26 55.98 90.28 74.77 94.75 112.28 98.02 190.31 99.43 346.36
-coveo junction 80.59 15.71 86.39 25.76 92.27 46.10 95.87 84.68 98.34 163.77 99.48 322.69
-coveo core 93.84 14.08 96.45 22.82 97.90 42.29 98.90 81.99 99.45 161.85 99.65 321.52
-pubmed baseline 23.73 44.43 34.21 53.89 45.94 70.98 58.06 107.10 69.67 183.72 79.64 340.89
-pubmed junction 25.44 19.29 35.34 29.13 46.45 47.34 58.08 84.79 69.74 163.37 79.63 322.47
-pubmed core 29.01 17.53 38.86 26.81 49.92 45.98 60.81 84.97 71.68 164.07 80.48 323.12
-text2image baseline 39.05 55.40 54.20 67.35 68.44 87.32 80.54 126.59 88.45 204.88 94.07 364.06
-text2image junction 38.17 30.93 53.86 42.44 67.90 61.60 79.83 99.85 88.04 177.75 93.76 336.45
-text2image core 41.60 32.98 56.56 43.05 70.58 61.34 81.79 98.58 89.78 176.54 94.49 333.90
-bigann baseline 85.49 47.79 93.93 55.73 97.25 72.81 98.97 110.17 99.77 188.12 99.96 346.19
-bigann junction 85.34 27.93 94.02 35.91 97.11 52.72 98.96 90.00 99.76 167.87 99.96 325.96
-bigann core 85.38 32.23 94.03 40.19 97.29 57.26 99.02 94.82 99.79 172.61 99.97 330.48
+coveo baseline 75.755997 45.3686 84.258003 55.9782 90.279999 74.765 94.75 112.2766 98.015999 190.3126 99.433998 346.356
+coveo junction 80.594002 15.7112 86.386002 25.7638 92.274002 46.0972 95.867996 84.6768 98.339996 163.7728 99.477997 322.6892
+coveo core 93.842003 14.0768 96.452003 22.819 97.896004 42.2948 98.903999 81.9864 99.449997 161.8464 99.653999 321.5164
+pubmed baseline 23.73 44.428 34.209999 53.887 45.939999 70.982 58.060001 107.096 69.669998 183.725 79.639999 340.886
+pubmed junction 25.440001 19.287 35.34 29.131 46.450001 47.338 58.080002 84.791 69.739998 163.371 79.629997 322.474
+pubmed core 29.01 17.534 38.860001 26.811 49.919998 45.985 60.810001 84.975 71.68 164.07 80.480003 323.118
+text2image baseline 39.049999 55.401 54.200001 67.348 68.440002 87.318 80.540001 126.589 88.449997 204.883 94.07 364.062
+text2image junction 38.169998 30.929 53.860001 42.442 67.900002 61.601 79.830002 99.854 88.040001 177.747 93.760002 336.447
+text2image core 41.599998 32.98 56.560001 43.046 70.580002 61.336 81.790001 98.585 89.779999 176.541 94.489998 333.902
+bigann baseline 85.489998 47.793 93.93 55.73 97.25 72.805 98.970001 110.175 99.769997 188.123 99.959999 346.188
+bigann junction 85.339996 27.925 94.019997 35.905 97.110001 52.715 98.959999 90.003 99.760002 167.869 99.959999 325.965
+bigann core 85.379997 32.228 94.029999 40.193 97.290001 57.26 99.019997 94.82 99.790001 172.606 99.970001 330.484
 """
 
 
@@ -91,10 +91,10 @@ def fixed_target_costs(spark, sf_dir):
     return curves.interpolate_closed(curves.mono(published(spark), ["workload", "method"]), targets, ["workload", "method"]).withColumn("cost", F.round("cost", 9))
 
 
-@query(f"WITH {VALUES} SELECT workload, method, CAST(width AS INTEGER) AS width, round(recall, 2) AS recall, round(cost, 2) AS cost FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.workload = a.workload AND b.recall >= a.recall - 1e-8 AND b.cost <= a.cost + 1e-8 AND (b.recall > a.recall + 1e-8 OR b.cost < a.cost - 1e-8))")
+@query(f"WITH {VALUES} SELECT workload, method, CAST(width AS INTEGER) AS width, recall, cost FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.workload = a.workload AND b.recall >= a.recall - 1e-8 AND b.cost <= a.cost + 1e-8 AND (b.recall > a.recall + 1e-8 OR b.cost < a.cost - 1e-8))")
 def pareto_points(spark, sf_dir):
     """Of all methods' points together, those of each workload that none dominates."""
-    return curves.pareto(published(spark), ["workload"]).select("workload", "method", "width", F.round("recall", 2).alias("recall"), F.round("cost", 2).alias("cost"))
+    return curves.pareto(published(spark), ["workload"]).select("workload", "method", "width", "recall", "cost")
 
 
 #: A noisy curve for each line status and ship mode of quantity: recall from discounts, cost from tax.
@@ -131,7 +131,7 @@ def replicate_aggregate(spark, sf_dir):
 
 
 RUNS = """l AS (SELECT l_linestatus AS arm, CAST(l_linenumber AS INTEGER) AS run, CAST(l_quantity AS INTEGER) // 10 AS width, avg(l_discount) AS d, count(*) AS n FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL),
-x AS (SELECT arm, run, width * 10.0 + run * 0.25 AS recall, round(n / 10.0, 3) AS cost FROM l)"""
+x AS (SELECT arm, run, width * 10.0 + run * 0.25 AS recall, round(width * 5 + n / 1000.0, 3) AS cost FROM l)"""
 
 
 @query(f"""WITH {RUNS}, y AS (SELECT * FROM x a WHERE NOT EXISTS (SELECT 1 FROM x b WHERE b.arm = a.arm AND b.run = a.run AND b.recall >= a.recall - 1e-8 AND b.cost <= a.cost + 1e-8 AND (b.recall > a.recall + 1e-8 OR b.cost < a.cost - 1e-8))),
@@ -142,7 +142,7 @@ SELECT w.target, w.arm, round(w.cost, 6) AS cost, round(100 * (1 - w.cost / r.co
 def latency_savings(spark, sf_dir):
     """Pareto and interpolation per run; a target counts if all three runs of an arm support it."""
     l = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").groupBy(F.col("l_linestatus").alias("arm"), F.col("l_linenumber").cast("int").alias("run"), F.floor(F.col("l_quantity").cast("int") / 10).alias("width")).agg(F.count(F.lit(1)).alias("n"))
-    x = l.select("arm", "run", (F.col("width") * 10.0 + F.col("run") * 0.25).alias("recall"), F.round(F.col("n") / 10.0, 3).alias("cost"))
+    x = l.select("arm", "run", (F.col("width") * 10.0 + F.col("run") * 0.25).alias("recall"), F.round(F.col("width") * 5 + F.col("n") / 1000.0, 3).alias("cost"))
     targets = spark.createDataFrame([(t,) for t in (15.0, 25.0, 35.0, 45.0, 50.5)], "target double")
     got = curves.latency_savings(x, "arm", {"F": 3, "O": 3}, targets, "F")
     return got.select("target", "arm", F.round("cost", 6).alias("cost"), F.round("saving", 6).alias("saving"))

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from waymark.catalog import QUERIES, SQL, curves, demand, vectors
+from waymark.catalog import QUERIES, SQL, curves, demand, evidence, vectors
 
-__all__ = ["QUERIES", "SQL", "curves", "demand", "vectors"]
+__all__ = ["QUERIES", "SQL", "curves", "demand", "evidence", "vectors"]
