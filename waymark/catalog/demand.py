@@ -87,10 +87,10 @@ def support_stats(spark, sf_dir):
     return kept.agg(F.max("support").alias("most"), junctions.upper_median(F.col("support")).alias("upper_median"))
 
 
-@query(f"WITH {STEPS}, n AS (SELECT query, count(*) AS n FROM steps GROUP BY query) SELECT round(avg(n), 6) AS mean, quantile_cont(n, 0.5) AS median, quantile_cont(n, 0.95) AS p95 FROM n")
+@query(f"WITH {STEPS}, n AS (SELECT query, count(*) AS n FROM steps GROUP BY query) SELECT round(avg(n), 6) AS mean, round(quantile_cont(n, 0.5), 6) AS median, round(quantile_cont(n, 0.95), 6) AS p95 FROM n")
 def trace_summary(spark, sf_dir):
     n = steps(spark, sf_dir).groupBy("query").agg(F.count(F.lit(1)).alias("n"))
-    return n.agg(F.round(F.avg("n"), 6).alias("mean"), F.percentile("n", F.lit(0.5)).alias("median"), F.percentile("n", F.lit(0.95)).alias("p95"))
+    return n.agg(F.round(F.avg("n"), 6).alias("mean"), F.round(F.percentile("n", F.lit(0.5)), 6).alias("median"), F.round(F.percentile("n", F.lit(0.95)), 6).alias("p95"))
 
 
 @query(f"""WITH {SCORE}, r AS (SELECT id, row_number() OVER (ORDER BY score DESC, support DESC, id) AS rank FROM s),

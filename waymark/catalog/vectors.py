@@ -134,10 +134,11 @@ def medoid_per_label(spark, sf_dir):
 
 
 @query(f"""WITH {E}, c AS (SELECT label, count(*) AS n FROM e GROUP BY label)
-SELECT CAST(min(n) AS BIGINT) AS low, CAST(max(n) AS BIGINT) AS high, round(avg(n), 6) AS mean, quantile_cont(n, 0.5) AS q500, quantile_cont(n, 0.95) AS q950 FROM c""")
+SELECT CAST(min(n) AS BIGINT) AS low, CAST(max(n) AS BIGINT) AS high, round(avg(n), 6) AS mean, round(quantile_cont(n, 0.5), 6) AS q500, round(quantile_cont(n, 0.95), 6) AS q950 FROM c""")
 def bucket_stats(spark, sf_dir):
     counts = points(spark, sf_dir).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    return kmeans.spread(counts, "n").withColumn("mean", F.round("mean", 6))
+    found = kmeans.spread(counts, "n")
+    return found.select("low", "high", *[F.round(c, 6).alias(c) for c in ("mean", "q500", "q950")])
 
 
 @query(f"WITH {MEMBERS} SELECT CAST(children.cell AS BIGINT) AS cell, m.id AS medoid_id, pos, children.id FROM children JOIN m ON m.cell = children.cell")

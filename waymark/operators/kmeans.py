@@ -56,7 +56,7 @@ def assign(points: DataFrame, centres: DataFrame, metric: str = "ip") -> DataFra
 
 def means(points: DataFrame, cells: DataFrame, spherical: bool) -> DataFrame:
     """``(cell, vec)``: the mean of each cell's points, scaled to unit length if ``spherical``."""
-    each = points.join(cells.select("id", "cell"), "id").select("cell", F.posexplode("vec").alias("pos", "x"))
+    each = points.select("id", "vec").join(cells.select("id", "cell"), "id").select("cell", F.posexplode("vec").alias("pos", "x"))
     mean = each.groupBy("cell", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
     packed = mean.groupBy("cell").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("vec"))
     return packed.select("cell", vec.normalize(F.col("vec"), zero="keep").alias("vec")) if spherical else packed
@@ -84,7 +84,7 @@ def lloyd(points: DataFrame, starts: DataFrame, iterations: int = 5, metric: str
 
 def medoids(points: DataFrame, cells: DataFrame, centres: DataFrame, metric: str = "ip") -> DataFrame:
     """``(cell, id)``: the member nearest to its centre, ties by id."""
-    joined = points.join(cells.select("id", "cell"), "id").join(centres.select("cell", F.col("vec").alias("centre")), "cell")
+    joined = points.select("id", "vec").join(cells.select("id", "cell"), "id").join(centres.select("cell", F.col("vec").alias("centre")), "cell")
     away = -vec.dot(F.col("vec"), F.col("centre")) if metric == "ip" else vec.l2sq(F.col("vec"), F.col("centre"))
     return joined.select("cell", "id", away.alias("away")).groupBy("cell").agg(F.min_by("id", F.struct("away", "id")).alias("id"))
 
@@ -102,6 +102,7 @@ def check_medoids(found: DataFrame, nlist: int) -> DataFrame:
 def buckets(ranked: DataFrame, points: DataFrame, medoid: DataFrame, metric: str = "ip") -> DataFrame:
     """``(cell, medoid_id, pos, id)``: every ranked id in the bucket of its nearest medoid, in rank
     order and without the medoids themselves."""
+    points = points.select("id", "vec")
     centres = medoid.join(points, "id").select("cell", "vec")
     cells = assign(ranked.select("id").join(points, "id").select("id", "vec"), centres, metric)
     inside = cells.join(ranked, "id").join(F.broadcast(medoid.select("id")), "id", "left_anti")
