@@ -677,7 +677,7 @@ def _uniform(symbols: list[int], size: int) -> dict[int, int]:
 
 
 def repeats(payload: bytes, size: int) -> list[tuple[int, int, int]]:
-    """(place, length, distance) of lines that occurred before, and of the padding after ``size``."""
+    """(place, length, distance) of lines that occurred before, and of one value repeated after ``size``."""
     found, seen, at = [], {}, 0
     if payload.count(b"\n", 0, size) > 1:
         for line in payload[:size].split(b"\n"):
@@ -688,7 +688,7 @@ def repeats(payload: bytes, size: int) -> list[tuple[int, int, int]]:
                     found += [(at + k, min(4096, n - k), d) for k in range(0, n, 4096)]
                 seen[line] = at
             at += n + 1
-    if len(payload) - size > LEAST:
+    if len(payload) - size > LEAST and payload.count(payload[size : size + 1], size) == len(payload) - size:
         found.append((size + 1, len(payload) - size - 1, 1))
     return found
 
