@@ -41,7 +41,7 @@ def test_language_of_odd_rows(odd, none):
     assert len(got) == 10 and {i for i, p in got if p == "und"} == {2, 3, 4, 7}
     assert langid.identify(none, model).count() == 0
     assert {r.lang_pred for r in langid.predictions(none.unionByName(odd.where("lang is null"))).collect()} == {"und"}
-    kept = langid.known(odd, model, confident=0.0)
+    kept = langid.known(odd, model, over_chance=0.0)
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {None, 1, 5, 6, 8}
 
 

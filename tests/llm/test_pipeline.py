@@ -39,7 +39,7 @@ def test_pipeline_equals_a_plain_version(spark, folder):
     left = [r for r in every if scores[r[0]] < 0.5 or not r[1]]
     assert not any(200 <= r[0] < 300 for r in left) and len(left) >= 120
     p = langid.document_probabilities(model[1], [r[1] for r in left]).max(axis=1)
-    left = [r for r, x in zip(left, p, strict=True) if r[1] and any(c.isalpha() for c in r[1]) and x >= langid.CONFIDENT]
+    left = [r for r, x in zip(left, p, strict=True) if r[1] and any(c.isalpha() for c in r[1]) and x >= langid.OVER_CHANCE / len(model[0])]
     best = {}
     for i, t, _ in left:
         best[t] = max(best.get(t, i), i)

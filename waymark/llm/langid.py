@@ -233,13 +233,18 @@ def identify(docs: DataFrame, model: tuple[list[str], dict], id_col: str = "doc_
     return map_texts(texts(docs, id_col, text_col), label, SCHEMA)
 
 
-#: Below this mean probability of the best language, a text is in none of the learned ones.
-CONFIDENT = 0.4
+#: A best language whose mean probability is under this multiple of chance is no language found.
+OVER_CHANCE = 1.2
 
 
-def known(docs: DataFrame, model: tuple[list[str], dict], text_col: str = "text", confident: float = CONFIDENT) -> DataFrame:
-    """The rows of ``docs``, unchanged, that are in one of the learned languages; ``und`` goes."""
+def known(docs: DataFrame, model: tuple[list[str], dict], text_col: str = "text", over_chance: float = OVER_CHANCE) -> DataFrame:
+    """The rows of ``docs``, unchanged, that are in one of the learned languages; ``und`` goes.
+
+    Short texts and texts of two languages are often unsure and yet clean, so beside ``und`` only
+    those go that the network tells hardly better than chance.
+    """
     langs, net = model
+    confident = over_chance / max(1, len(langs))
 
     def keep(values: list[str | None]) -> list[bool]:
         letters = [bool(langs) and bool(v) and LETTER.search(v) is not None for v in values]
