@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.plans import curves
+from waymark.plans import curves, studies
 
 from . import query, table
 
@@ -168,3 +168,41 @@ def tolerance_violations(spark, sf_dir):
     """Cells that differ from their rounded copy by over a limit."""
     p = published(spark)
     return curves.within(p.select("workload", "method", "width", "recall"), p.select("workload", "method", "width", F.round("recall", 1).alias("recall")), ["workload", "method", "width"], ["recall"], 0.04).agg(F.count(F.lit(1)).alias("violations"))
+
+
+@query(f"WITH {SEGMENTS}, t AS (SELECT CAST(unnest([30, 60, 90, 99]) AS DOUBLE) AS target), e AS (SELECT workload, method, min(recall) AS a, max(recall) AS b FROM p GROUP BY workload, method) SELECT e.workload, e.method, target, CASE WHEN target < a THEN 'below range' WHEN target > b THEN 'above range' END AS reason FROM e, t")
+def support_reasons(spark, sf_dir):
+    """Why a curve has no cost at a target."""
+    targets = spark.createDataFrame([(float(x),) for x in (30, 60, 90, 99)], "target double")
+    return studies.reasons(published(spark), ["workload", "method"], targets).drop("cost")
+
+
+@query(f"WITH {VALUES} SELECT workload, CAST(width AS INTEGER) AS width, round(100 * (1 - max(cost) FILTER (WHERE method = 'core') / max(cost) FILTER (WHERE method = 'baseline')), 6) AS saving FROM p GROUP BY workload, width")
+def paired_savings(spark, sf_dir):
+    """Reads saved at equal width, pair by pair."""
+    found = studies.paired_ratios(published(spark), ["workload", "width"], "method", "core", "baseline", "cost")
+    return found.withColumn("saving", F.round("saving", 6))
+
+
+@query(f"WITH {COSTS} SELECT workload, target FROM c GROUP BY workload, target HAVING count(cost) = 3")
+def common_anchors(spark, sf_dir):
+    return studies.common_anchors(published(spark), ["workload"], "method", "core")
+
+
+@query(f"""WITH {SEGMENTS}, t AS (SELECT CAST(unnest([45, 80, 95, 98]) AS DOUBLE) AS target),
+c AS (SELECT s.workload, s.method, target, max(CASE WHEN abs(recall - target) <= 1e-7 THEN cost WHEN recall < target AND target < hi AND abs(hi - target) > 1e-7 THEN cost + (hi_cost - cost) * (target - recall) / (hi - recall) END) AS cost FROM s, t GROUP BY s.workload, s.method, target),
+g AS (SELECT workload, target FROM c GROUP BY workload, target HAVING count(cost) = 3)
+SELECT c.workload, c.target, c.method, round(CASE WHEN g.target IS NOT NULL THEN c.cost END, 6) AS cost, round(CASE WHEN g.target IS NOT NULL THEN 100 * (1 - c.cost / r.cost) END, 6) AS saving
+FROM c JOIN c r ON r.workload = c.workload AND r.target = c.target AND r.method = 'baseline' LEFT JOIN g ON g.workload = c.workload AND g.target = c.target""")
+def fixed_target_savings(spark, sf_dir):
+    """Savings at fixed recalls; null where a method does not reach the recall."""
+    targets = spark.createDataFrame([(float(x),) for x in (45, 80, 95, 98)], "target double")
+    got = studies.fixed_targets(published(spark), ["workload"], "method", "baseline", targets)
+    return got.select("workload", "target", "method", F.round("cost", 6).alias("cost"), F.round("saving", 6).alias("saving"))
+
+
+@query("""SELECT user_id % 7 AS condition, round(avg(value) FILTER (WHERE event_id % 4 = 0), 4) AS k1, round(avg(value) FILTER (WHERE event_id % 4 = 1), 4) AS k2, round(avg(value) FILTER (WHERE event_id % 4 = 2), 4) AS k4, round(avg(value) FILTER (WHERE event_id % 4 = 3), 4) AS k8 FROM events GROUP BY 1""")
+def sensitivity_table(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("condition"), F.pow(F.lit(2), F.col("event_id") % 4).cast("int").alias("starts"), F.col("value").alias("saving"))
+    got = studies.sensitivity(e, "condition", "starts", [1, 2, 4, 8])
+    return got.select("condition", *[F.round(f"k{v}", 4).alias(f"k{v}") for v in (1, 2, 4, 8)])

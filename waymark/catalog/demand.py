@@ -263,3 +263,14 @@ def start_points(spark, sf_dir):
     e = events(spark, sf_dir).groupBy("user_id").agg(F.collect_set("event_type").alias("own"))
     picked = routing.check_starts(e.withColumn("starts", routing.precedence(F.array().cast("array<string>"), F.col("own"))))
     return picked.select("user_id", F.size("starts").cast("long").alias("n_starts"), (F.size("starts") == F.size(F.array_distinct("starts"))).alias("unique_starts"))
+
+
+@query(f"""WITH RECURSIVE {FIFO}, g AS (SELECT stream, gone AS id, seq FROM r WHERE gone IS NOT NULL),
+s AS (SELECT r.stream, ev.id, r.seq FROM r JOIN ev ON ev.stream = r.stream AND ev.seq = r.seq WHERE NOT hit),
+h AS (SELECT s.stream, s.id FROM s WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.stream = s.stream AND g.id = s.id AND g.seq > s.seq))
+SELECT ev.stream, count(*) FILTER (WHERE h.id IS NOT NULL) AS hits, count(*) AS n FROM ev LEFT JOIN h ON h.stream = ev.stream AND h.id = ev.id GROUP BY ev.stream""")
+def frozen_history(spark, sf_dir):
+    """The whole stream again, against the history that it left behind, now frozen."""
+    s = streams(spark, sf_dir)
+    held = history.snapshot(history.fifo_replay(s, CAPACITY))
+    return history.frozen_hits(s, held).groupBy("stream").agg(F.count(F.when(F.col("hit"), 1)).alias("hits"), F.count(F.lit(1)).alias("n"))

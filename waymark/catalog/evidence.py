@@ -18,16 +18,16 @@ def member_predicates(spark, sf_dir):
     return p.select("page_id", digest.alias("sha256"), evidence.is_hash(digest).alias("hash_ok"), evidence.is_safe_path(F.col("p")).alias("path_ok"))
 
 
-@query("""WITH s AS (SELECT page_id, 'm/' || page_id AS member, strlen(html) AS want, sha256(html) AS want_sha FROM pages WHERE page_id % 7 <> 0),
-m AS (SELECT 'm/' || page_id AS member, strlen(html) + CASE WHEN page_id % 11 = 0 THEN 1 ELSE 0 END AS bytes, sha256(CASE WHEN page_id % 13 = 0 THEN html || 'x' ELSE html END) AS sha FROM pages WHERE page_id % 5 <> 0)
+@query("""WITH s AS (SELECT page_id, 'm/' || page_id AS member, strlen(html) AS want, sha256(html) AS want_sha FROM pages WHERE url NOT LIKE '%.org/%'),
+m AS (SELECT 'm/' || page_id AS member, strlen(html) + CASE WHEN page_id % 11 = 0 THEN 1 ELSE 0 END AS bytes, sha256(CASE WHEN page_id % 13 = 0 THEN html || 'x' ELSE html END) AS sha FROM pages WHERE url NOT LIKE 'https://m.%')
 SELECT coalesce(s.member, m.member) AS member, CASE WHEN m.member IS NULL THEN 'missing member' WHEN s.member IS NULL THEN 'unlisted member' WHEN bytes <> want THEN 'length' WHEN sha <> want_sha THEN 'digest' END AS problem
 FROM s FULL JOIN m ON s.member = m.member WHERE m.member IS NULL OR s.member IS NULL OR bytes <> want OR sha <> want_sha""")
 def archive_violations(spark, sf_dir):
     """A manifest and an archive that differ in rows, lengths and digests, in known ways."""
-    p = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("m/"), "page_id").alias("member"), F.encode("html", "UTF-8").alias("raw"))
-    sources = p.where("page_id % 7 <> 0").select(F.col("member").alias("published_member"), F.length("raw").alias("sanitized_bytes"), F.sha2("raw", 256).alias("sanitized_sha256"))
+    p = table(spark, sf_dir, "pages").select("page_id", "url", F.concat(F.lit("m/"), "page_id").alias("member"), F.encode("html", "UTF-8").alias("raw"))
+    sources = p.where("url NOT LIKE '%.org/%'").select(F.col("member").alias("published_member"), F.length("raw").alias("sanitized_bytes"), F.sha2("raw", 256).alias("sanitized_sha256"))
     odd = F.when(F.col("page_id") % 13 == 0, F.concat("raw", F.encode(F.lit("x"), "UTF-8"))).otherwise(F.col("raw"))
-    members = p.where("page_id % 5 <> 0").select("member", (F.length("raw") + F.when(F.col("page_id") % 11 == 0, 1).otherwise(0)).alias("bytes"), F.sha2(odd, 256).alias("sha256"), F.lit(None).cast("string").alias("problem"))
+    members = p.where("url NOT LIKE 'https://m.%'").select("member", (F.length("raw") + F.when(F.col("page_id") % 11 == 0, 1).otherwise(0)).alias("bytes"), F.sha2(odd, 256).alias("sha256"), F.lit(None).cast("string").alias("problem"))
     return evidence.archive_violations(sources, members)
 
 

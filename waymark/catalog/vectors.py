@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import vec
 from waymark.operators import junctions, kmeans, knn, pq, routing, search
+from waymark.plans import studies
 from waymark.session import checkpoint
 
 from . import query, table
@@ -363,3 +364,26 @@ def search_traces(spark, sf_dir):
     p = points(spark, sf_dir)
     found = search.replay(searched(p), index_of(p), {"teacher": (search.Routing(), search.Walk(width=4, k=1))})
     return found.select("query", F.element_at("ids", 1).alias("result_id"), "reads", F.posexplode("trace").alias("pos", "id"))
+
+
+@query(f"""WITH {E}, b AS (SELECT id, {_bucket_sql('msb')} AS bucket FROM e),
+t AS (SELECT bucket, id FROM b JOIN (SELECT id, label FROM e) USING (id) WHERE label < 5 QUALIFY row_number() OVER (PARTITION BY bucket ORDER BY id DESC) <= 8),
+n AS (SELECT b.id AS query, count(t.id) AS n FROM b LEFT JOIN t USING (bucket) WHERE b.id % {STRIDE} = 0 GROUP BY b.id)
+SELECT round(avg(CAST(n > 0 AS INTEGER)) * 100, 6) AS usage, round(avg(n), 6) AS mean_starts FROM n""")
+def lsh_usage(spark, sf_dir):
+    """How many queries find anything in their bucket when vectors of five labels were destinations."""
+    p = points(spark, sf_dir).select("id", "cell", vec.lsh_bucket(F.col("vec"), planes()).alias("bucket"))
+    held = knn.top_by(p.where("cell < 5"), "bucket", [F.desc("id")], 8)
+    q = p.where(F.col("id") % STRIDE == 0).select(F.col("id").alias("query"), "bucket")
+    got = studies.bucket_usage(routing.bucket_starts(q, held), q)
+    return got.select(F.round("usage", 6).alias("usage"), F.round("mean_starts", 6).alias("mean_starts"))
+
+
+@query()
+def write_sweep(spark, sf_dir):
+    """Recall and reads when one in 1, 2, 4 or 10 new destinations is kept as an exit."""
+    p = points(spark, sf_dir)
+    q = searched(p)
+    streams = studies.streams_of("writes", (20,))
+    truth = knn.nearest(as_points(q), p, TOP, exclude_self=False)
+    return search.summary(search.replay(q, index_of(p), streams), truth, TOP)

@@ -219,3 +219,14 @@ def recent_overlap(events: DataFrame, capacities: list[int]) -> DataFrame:
     depth = fold(events, lambda: Lru(most), step, "stream string, seq long, depth int", ["stream", "seq", "id"])
     each = depth.select("stream", "depth", F.explode(F.array(*map(F.lit, capacities))).alias("capacity"))
     return each.groupBy("stream", "capacity").agg((F.count(F.when(F.col("depth") <= F.col("capacity"), 1)) * 100.0 / F.count(F.lit(1))).alias("share"))
+
+
+def snapshot(replayed: DataFrame) -> DataFrame:
+    """``(stream, id)``: what each stream holds after a replay, as a table that can be written."""
+    return lifetimes(replayed).where("evict_seq IS NULL").select("stream", F.col("insert_seq").alias("seq"), "id")
+
+
+def frozen_hits(events: DataFrame, held: DataFrame) -> DataFrame:
+    """``events`` with ``hit`` against a snapshot that no query changes; streams may share none."""
+    known = held.select("stream", "id").distinct().withColumn("__in", F.lit(True))
+    return events.join(known, ["stream", "id"], "left").withColumn("hit", F.coalesce("__in", F.lit(False))).drop("__in")
