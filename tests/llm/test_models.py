@@ -35,6 +35,10 @@ def test_language_windows_and_batches_do_not_matter():
     assert both[2].sum() == 0 and both[[0, 1, 4, 5]].sum(axis=1) == pytest.approx(1, abs=1e-4)
 
 
+def test_letters():
+    assert [langid.has_letter(t) for t in (None, "", "12 ½ ² _!", "1 a", "é", "日")] == [False, False, False, True, True, True]
+
+
 def test_language_of_odd_rows(odd, none):
     model = langid.fit([("the cat and the dog", "en"), ("der hund und die katze", "de")] * 20, epochs=2)
     got = [(r.doc_id, r.lang_pred) for r in langid.identify(odd, model).collect()]

@@ -26,6 +26,12 @@ TRAIN_WINDOWS, TRAIN_WINDOW = 1200, 64
 HIDDEN, EPOCHS, BATCH, RATE, SEED = 8, 6, 128, 0.02, 11
 FOLDS, HELD_OUT = 4, 2
 LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Word characters that are neither digits nor letters, such as fractions, don't count."""
+    return bool(text) and any(m[0].isalpha() for m in LETTER.finditer(text))
+
 SCHEMA = "doc_id long, lang_pred string, score double"
 
 
@@ -224,7 +230,7 @@ def identify(docs: DataFrame, model: tuple[list[str], dict], id_col: str = "doc_
     langs, net = model
 
     def label(ids: pa.Array, values: list[str | None]) -> pa.RecordBatch:
-        known = [bool(langs) and bool(v) and LETTER.search(v) is not None for v in values]
+        known = [bool(langs) and has_letter(v) for v in values]
         p = document_probabilities(net, [v if k else None for v, k in zip(values, known, strict=True)])
         best = p.argmax(axis=1)
         names = [langs[b] if k else "und" for b, k in zip(best, known, strict=True)]
@@ -247,7 +253,7 @@ def known(docs: DataFrame, model: tuple[list[str], dict], text_col: str = "text"
     confident = over_chance / max(1, len(langs))
 
     def keep(values: list[str | None]) -> list[bool]:
-        letters = [bool(langs) and bool(v) and LETTER.search(v) is not None for v in values]
+        letters = [bool(langs) and has_letter(v) for v in values]
         p = document_probabilities(net, [v if k else None for v, k in zip(values, letters, strict=True)]).max(axis=1)
         return [k and bool(x >= confident) for k, x in zip(letters, p, strict=True)]
 
