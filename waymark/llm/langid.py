@@ -26,14 +26,13 @@ TRAIN_WINDOWS, TRAIN_WINDOW = 1200, 64
 HIDDEN, EPOCHS, BATCH, RATE, SEED = 8, 6, 128, 0.02, 11
 FOLDS, HELD_OUT = 4, 2
 LETTER = re.compile(r"[^\W\d_]")
+SCHEMA = "doc_id long, lang_pred string, score double"
 
 
 def has_letter(text: str | None) -> bool:
     """Word characters that are neither digits nor letters, such as fractions, don't count."""
     return bool(text) and any(m[0].isalpha() for m in LETTER.finditer(text))
 
-SCHEMA = "doc_id long, lang_pred string, score double"
-
 
 def _direction(rng: np.random.Generator, hidden: int) -> dict[str, np.ndarray]:
     """Byte tables and recurrences of the reset gate, the update gate and the candidate."""
@@ -59,27 +58,32 @@ def _gate(x: np.ndarray, h: np.ndarray, u: np.ndarray) -> np.ndarray:
     return x
 
 
-def _states(net: dict, d: str, x: np.ndarray, keep: bool = False):
-    """States (time, batch, hidden) of one direction over bytes x (time, batch)."""
+def _states(net: dict, d: str, x: np.ndarray, keep: bool = False, alive: np.ndarray | None = None):
+    """States (time, batch, hidden) of one direction over bytes x (time, batch).
+
+    With ``alive``, only the first ``alive[t]`` sequences reach step t: columns are ordered by
+    falling length, states beyond a sequence's end are zero, and neither direction sees padding.
+    """
     xr, xz, ur, uz = (0.5 * net[f"{d}.{k}"] for k in ("xr", "xz", "ur", "uz"))
     xn, un = net[f"{d}.xn"], net[f"{d}.un"]
     steps, width = x.shape
-    out = np.empty((steps, width, un.shape[0]), un.dtype)
-    h = np.zeros((width, un.shape[0]), un.dtype)
+    out = (np.empty if alive is None else np.zeros)((steps, width, un.shape[0]), un.dtype)
+    before = np.zeros((width, un.shape[0]), un.dtype)
     kept = []
     for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-        at = x[t]
+        n_alive = width if alive is None else alive[t]
+        at, h = x[t, :n_alive], before[:n_alive]
         r, z, n = _gate(xr.take(at, 0), h, ur), _gate(xz.take(at, 0), h, uz), xn.take(at, 0)
         m = h @ un
         n += m * r
         np.tanh(n, out=n)
         if keep:
             kept.append((t, h, r, z, m, n))
-        new = out[t]
+        new = out[t, :n_alive]
         np.subtract(h, n, out=new)
         new *= z
         new += n
-        h = new
+        before = out[t]
     return out, kept
 
 
@@ -99,9 +103,9 @@ def _labels(net: dict, f: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _softmax(logits).reshape(-1, *f.shape[:2])
 
 
-def positions(net: dict, x: np.ndarray) -> np.ndarray:
+def positions(net: dict, x: np.ndarray, alive: np.ndarray | None = None) -> np.ndarray:
     """Label probabilities (languages, time, batch) at every byte position."""
-    return _labels(net, _states(net, "f", x)[0], _states(net, "b", x)[0])
+    return _labels(net, _states(net, "f", x, alive=alive)[0], _states(net, "b", x, alive=alive)[0])
 
 
 def gradients(net: dict, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -200,9 +204,11 @@ def document_probabilities(net: dict, values: list[str | None], width: int = 204
     for at in range(0, len(x), width):
         pick = order[at : at + width]
         longest = int(ends[pick[0]])
-        p = positions(net, np.ascontiguousarray(x[pick, :longest].T))
-        if ends[pick[-1]] < longest:
-            p *= np.arange(longest)[:, None] < ends[pick][None, :]
+        if ends[pick[-1]] == longest:
+            p = positions(net, np.ascontiguousarray(x[pick, :longest].T))
+        else:
+            inside = np.arange(longest)[:, None] < ends[pick][None, :]
+            p = positions(net, np.ascontiguousarray(x[pick, :longest].T), inside.sum(axis=1)) * inside
         sums[pick] = p.sum(axis=1).T
     for k in range(total.shape[1]):
         total[:, k] = np.bincount(owner, sums[:, k], len(raws))
@@ -234,7 +240,7 @@ def identify(docs: DataFrame, model: tuple[list[str], dict], id_col: str = "doc_
         p = document_probabilities(net, [v if k else None for v, k in zip(values, known, strict=True)])
         best = p.argmax(axis=1)
         names = [langs[b] if k else "und" for b, k in zip(best, known, strict=True)]
-        return pa.RecordBatch.from_arrays([ids, pa.array(names, pa.string()), pa.array(np.clip(p.max(axis=1), 0, 1), pa.float64())], ["doc_id", "lang_pred", "score"])
+        return pa.RecordBatch.from_arrays([ids, pa.array(names, pa.string()), pa.array(np.clip(p.max(axis=1), 0, 1).round(5), pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return map_texts(texts(docs, id_col, text_col), label, SCHEMA)
 
