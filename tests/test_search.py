@@ -85,6 +85,8 @@ def test_replay_is_causal_and_streams_are_apart(spark, points, index):
     truth = knn.nearest(p.where("id < 40"), p, 10, exclude_self=False)
     got = {r.stream: r for r in search.summary(spark.createDataFrame(first), truth, 10, 10).collect()}
     assert got["core"].queries == 30 and got["core"].recall > 50
+    assert search.summary(spark.createDataFrame(first), None, 10).where("recall IS NOT NULL").count() == 0
+    assert 60 < kmeans.sample_points(p, 100).count() < 140
 
 
 def test_probe_and_winner_ties(spark):

@@ -94,3 +94,13 @@ def test_windows_splits_pools(spark):
     assert demand.split(rows, "query", {"a": 5, "b": 3}).groupBy("split").count().orderBy("split").collect()[1][1] == 3
     pool = demand.locality_pool(100, 10, 35)
     assert len(pool) == 35 and len(set(pool)) == 10 and sorted(pool[:10]) == sorted(pool[10:20])
+
+
+def test_flat_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([(0, 10, 1.0), (0, 20, 2.0)], "query long, L int, ios double")
+    S.write_diagnostics(rows, str(tmp_path / "d"))
+    assert {p.name for p in (tmp_path / "d").iterdir() if p.is_dir()} == {"L=10", "L=20"}
+    S.write_tsv(rows.select("query", "ios").coalesce(1), str(tmp_path / "t"))
+    assert open(S.only_file(str(tmp_path / "t"), ".csv")).read().startswith("query\tios\n")
+    with pytest.raises(ValueError):
+        S.only_file(str(tmp_path / "t"), ".json")

@@ -54,6 +54,12 @@ def assign(points: DataFrame, centres: DataFrame, metric: str = "ip") -> DataFra
     return points.select(F.col("id").cast("long"), "vec").mapInArrow(run, "id long, cell long, score double")
 
 
+def sample_points(points: DataFrame, most: int, seed: int = 1) -> DataFrame:
+    """About ``most`` of ``points(id, vec)``, by a hash of the id: the same ones in every run."""
+    share = min(1.0, most / max(1, points.count()))
+    return points.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
 def means(points: DataFrame, cells: DataFrame, spherical: bool) -> DataFrame:
     """``(cell, vec)``: the mean of each cell's points, scaled to unit length if ``spherical``."""
     each = points.select("id", "vec").join(cells.select("id", "cell"), "id").select("cell", F.posexplode("vec").alias("pos", "x"))

@@ -232,11 +232,17 @@ def replay(queries: DataFrame, index: Index, streams: dict[str, tuple[Routing, W
     return rows.select("stream", "query", "vec").repartition(parts, "stream").sortWithinPartitions("stream", "query").mapInArrow(run, RESULT)
 
 
-def summary(results: DataFrame, truth: DataFrame, k: int, warmup: int = 0) -> DataFrame:
-    """Per stream over the measured suffix: recall, mean reads, comparisons and hops."""
+def summary(results: DataFrame, truth: DataFrame | None, k: int, warmup: int = 0) -> DataFrame:
+    """Per stream over the measured suffix: recall, mean reads, comparisons and hops.
+
+    Without a ground truth (a throughput run) the recall is null.
+    """
     late = results.where(F.col("query") >= warmup)
-    want = truth.where(F.col("rank") <= k).groupBy("query").agg(F.collect_set("id").alias("want"))
-    joined = late.join(want, "query").withColumn("hit", F.size(F.array_intersect(F.slice("ids", 1, k), "want")) * 100.0 / k)
+    if truth is None:
+        joined = late.withColumn("hit", F.lit(None).cast("double"))
+    else:
+        want = truth.where(F.col("rank") <= k).groupBy("query").agg(F.collect_set("id").alias("want"))
+        joined = late.join(want, "query").withColumn("hit", F.size(F.array_intersect(F.slice("ids", 1, k), "want")) * 100.0 / k)
     return joined.groupBy("stream").agg(F.avg("hit").alias("recall"), F.avg("reads").alias("mean_ios"), F.avg("uncached_reads").alias("mean_uncached"), F.avg("page_reads").alias("mean_pages"), F.avg("comparisons").alias("mean_comparisons"), F.avg("hops").alias("mean_hops"), F.count(F.lit(1)).alias("queries"))
 
 

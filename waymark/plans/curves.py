@@ -163,3 +163,13 @@ def cache_records(budget: Column, dim: Column, itemsize: Column) -> Column:
 
 def pool_records(budget: Column, scale: Column, dim: Column, header: int = 16) -> Column:
     return F.floor((budget * scale - header) / (dim * 4 + 4)).cast("long")
+
+
+def report(value: Column, digits: int) -> Column:
+    """A reported number: halves go to the even digit."""
+    return F.bround(value, digits)
+
+
+def nearest_ranks(latency: str, points: tuple[float, ...] = (0.5, 0.95, 0.99, 0.999)) -> list[Column]:
+    """Exact latency quantiles, named by their per mille."""
+    return [F.percentile(latency, F.lit(q)).alias(f"p{round(q * 1000)}") for q in points]

@@ -35,6 +35,29 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("error").json(path)
 
 
+def write_tsv(df: DataFrame, path: str) -> None:
+    """An id map or another flat table, tab-separated with a header."""
+    df.write.mode("error").option("header", True).option("sep", "\t").csv(path)
+
+
+def write_diagnostics(df: DataFrame, path: str) -> None:
+    """Per-query rows of every width as CSV, one folder for each width."""
+    df.write.mode("error").option("header", True).partitionBy("L").csv(path)
+
+
+def only_file(folder: str, ending: str) -> str:
+    """The one file of a folder whose name ends so; none or several is an error."""
+    from pyarrow import fs
+
+    from .binary import opened
+
+    store, at = opened(folder)
+    found = [f.path for f in store.get_file_info(fs.FileSelector(at)) if f.path.endswith(ending)]
+    if len(found) != 1:
+        raise ValueError(f"{folder}: {len(found)} files end with {ending}")
+    return found[0]
+
+
 def read_csv(spark: SparkSession, path: str, schema: str, row: str | None = None) -> DataFrame:
     """A CSV file with exactly these leading columns; ``row`` adds a number that rises with the
     place in the file (not dense)."""
