@@ -40,6 +40,20 @@ def slices(batch: pa.RecordBatch, chars: int = SLICE_CHARS) -> Iterator[tuple[pa
         yield ids.slice(start, len(out)), out
 
 
+#: Bytes of input for each core below which a table is dealt out before a Python operator.
+SMALL = 2 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of a few megabytes over all cores, where a scan would give it to one; others as they are.
+
+    The size is the plan's estimate, so nothing is read for it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SMALL else df
+
+
 def map_texts(df: DataFrame, fn: Callable[[pa.Array, list[str | None]], pa.RecordBatch], schema: str, chars: int = SLICE_CHARS) -> DataFrame:
     """Apply ``fn(ids, texts)`` to slices of ``(doc_id, text)`` rows, in Arrow batches."""
     ship(df.sparkSession)
@@ -49,7 +63,7 @@ def map_texts(df: DataFrame, fn: Callable[[pa.Array, list[str | None]], pa.Recor
             for ids, values in slices(batch, chars):
                 yield fn(ids, values)
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)
 
 
 def sample(df: DataFrame, strata: Column, per_stratum: int | dict[str, int], seed: int) -> DataFrame:
@@ -93,4 +107,4 @@ def keep_rows(docs: DataFrame, keep: Callable[[list[str | None]], list[bool]], t
             mask = [k for _, values in slices(pair) for k in keep(values)]
             yield batch.filter(pa.array(mask, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)
