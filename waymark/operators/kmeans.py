@@ -18,6 +18,13 @@ from .knn import matrix, scores
 MOST_CENTRES = 65_536
 
 
+def small(df: DataFrame, most: int = MOST_CENTRES) -> DataFrame:
+    """A side for broadcasting, after its size has been checked."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"over {most} rows to broadcast")
+    return F.broadcast(df)
+
+
 def centre_matrix(centres: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Cells and vectors of ``centres(cell, vec)``, in cell order; too many are an error."""
     held = centres.select(F.col("cell").cast("long"), "vec").orderBy("cell").limit(MOST_CENTRES + 1).toArrow()
@@ -111,9 +118,9 @@ def buckets(ranked: DataFrame, points: DataFrame, medoid: DataFrame, metric: str
     points = points.select("id", "vec")
     centres = medoid.join(points, "id").select("cell", "vec")
     cells = assign(ranked.select("id").join(points, "id").select("id", "vec"), centres, metric)
-    inside = cells.join(ranked, "id").join(F.broadcast(medoid.select("id")), "id", "left_anti")
+    inside = cells.join(ranked, "id").join(small(medoid.select("id")), "id", "left_anti")
     pos = (F.row_number().over(Window.partitionBy("cell").orderBy("rank", "id")) - 1).cast("long")
-    return inside.join(F.broadcast(medoid.select("cell", F.col("id").alias("medoid_id"))), "cell").select("cell", "medoid_id", pos.alias("pos"), "id")
+    return inside.join(small(medoid.select("cell", F.col("id").alias("medoid_id"))), "cell").select("cell", "medoid_id", pos.alias("pos"), "id")
 
 
 def spread(values: DataFrame, column: str, quantiles: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:

@@ -10,20 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import vec
-from waymark.operators.kmeans import MOST_CENTRES
+from waymark.operators.kmeans import small
 
 
 def distance(a: Column, b: Column, metric: str = "ip") -> Column:
     return -vec.dot(a, b) if metric == "ip" else vec.l2sq(a, b)
 
 
-def small(df: DataFrame, most: int = MOST_CENTRES) -> DataFrame:
-    """A side for broadcasting, after its size has been checked."""
-    if df.limit(most + 1).count() > most:
-        raise ValueError(f"over {most} rows to broadcast")
-    return F.broadcast(df)
-
-
 def score_all(queries: DataFrame, few: DataFrame, metric: str = "ip") -> DataFrame:
     """Every query against a small checked table ``few(id, vec, ...)``: adds ``d``."""
     named = queries.select("query", F.col("vec").alias("__q"))

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.operators.kmeans import small
+
 EXACT, LOOSE = 1e-8, 1e-7
 
 
@@ -56,7 +58,7 @@ def interpolate(points: DataFrame, targets: DataFrame, curve: list[str], on: lis
     hit = F.abs(F.col("lo") - t) <= eps
     inside = F.col("hi").isNotNull() & (F.col("lo") < t) & (t < F.col("hi")) & (F.abs(F.col("hi") - t) > eps)
     value = F.when(hit, F.col("lo_cost")).when(inside, F.col("lo_cost") + (F.col("hi_cost") - F.col("lo_cost")) * (t - F.col("lo")) / (F.col("hi") - F.col("lo")))
-    pairs = s.join(F.broadcast(targets), on) if on else s.crossJoin(F.broadcast(targets))
+    pairs = s.join(targets, on) if on else s.join(small(targets), F.lit(True))
     keys = list(dict.fromkeys([*curve, *on, "target"]))
     return pairs.select(*keys, value.alias("v"), hit.alias("hit")).groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col("hit"), F.col("v"))), F.max("v")).alias("cost"))
 
@@ -65,7 +67,7 @@ def interpolate_closed(points: DataFrame, targets: DataFrame, curve: list[str])
     """In width order, the first segment with lo <= target <= hi; a degenerate one has weight 0."""
     s = segments(points.withColumnRenamed("width", "__w"), curve, "__w")
     t = F.col("target")
-    pairs = s.crossJoin(F.broadcast(targets)).where(F.col("hi").isNotNull() & (F.col("lo") <= t) & (t <= F.col("hi")))
+    pairs = s.join(small(targets), F.lit(True)).where(F.col("hi").isNotNull() & (F.col("lo") <= t) & (t <= F.col("hi")))
     weight = F.when(F.col("hi") == F.col("lo"), 0.0).otherwise((t - F.col("lo")) / F.when(F.col("hi") != F.col("lo"), F.col("hi") - F.col("lo")))
     value = F.col("lo_cost") + weight * (F.col("hi_cost") - F.col("lo_cost"))
     return pairs.withColumn("v", value).groupBy(*curve, "target").agg(F.min_by("v", "segment").alias("cost"))
@@ -92,7 +94,7 @@ def matched(points: DataFrame, group: list[str], method: str, anchor: str, refer
     methods = front.groupBy(*group).agg(F.count_distinct(method).alias("n"))
     key = [*group, "target"]
     full = costs.groupBy(*key).agg(F.count("cost").alias("have"), F.max(F.when(F.col(method) == reference, F.col("cost"))).alias("ref"))
-    full = (full.join(F.broadcast(methods), group) if group else full.crossJoin(F.broadcast(methods))).where("have = n")
+    full = (full.join(methods, group) if group else full.join(small(methods), F.lit(True))).where("have = n")
     return costs.join(full, key).select(*key, method, saving(F.col("cost"), F.col("ref")).alias("saving"))
 
 

@@ -44,7 +44,7 @@ def fixed_targets(points: DataFrame, group: list[str], method: str, reference: s
     curve = [*group, method]
     costs = curves.interpolate(points.select(*curve, "recall", "cost"), targets, curve)
     span = curves.support_range(points, group, method)
-    named = costs.join(F.broadcast(span), group) if group else costs.crossJoin(F.broadcast(span))
+    named = costs.join(span, group) if group else costs.join(curves.small(span), F.lit(True))
     inside = (F.col("target") >= F.col("low")) & (F.col("target") <= F.col("high"))
     held = named.withColumn("cost", F.when(inside, F.col("cost")))
     ref = held.where(F.col(method) == reference).select(*group, "target", F.col("cost").alias("ref"))
