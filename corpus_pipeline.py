@@ -7,7 +7,6 @@ writes every stage's rows as Parquet in the shared folder and reads them again f
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from waymark.llm import dedup, langid, packing, simhash, toxicity
 from waymark.session import shared_dir
