@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from waymark.session import ship
 
 #: Rows of one slice that a Python operator works on at a time, and characters of text in it.
-SLICE_ROWS, SLICE_CHARS = 2048, 8 << 20
+SLICE_ROWS, SLICE_CHARS = 2048, 4 << 20
 
 
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

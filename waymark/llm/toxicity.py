@@ -24,7 +24,7 @@ from .trees import Boosted, boost, isotonic
 #: Bounds of the training sample: rows of each label, and characters of a text.
 TRAIN_ROWS, TRAIN_CHARS = {"1": 900, "0": 2700}, 8_000
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.5
-STEMS, NEAR, MEMO = (4, 5, 6), 5, 600_000
+STEMS, NEAR, MEMO = (4, 5, 6), 5, 400_000
 SCHEMA = "doc_id long, score double"
 EDGES = ".,;:!?\"'()[]{}<>*$%&#|-_~`"
 SECOND = frozenset("you your yours yourself u ur thou thee du dich dir dein deine deiner euch euer ihr tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros vuestro os".split())
