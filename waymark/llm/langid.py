@@ -247,19 +247,24 @@ def identify(docs: DataFrame, model: tuple[list[str], dict], id_col: str = "doc_
 
 #: A best language whose mean probability is under this multiple of chance is no language found.
 OVER_CHANCE = 1.2
+#: No text over this goes. It is under chance for three languages or fewer, so there all lettered texts stay.
+SURE = 0.3
 
 
 def known(docs: DataFrame, model: tuple[list[str], dict], text_col: str = "text", over_chance: float = OVER_CHANCE) -> DataFrame:
-    """The rows of ``docs``, unchanged, that are in one of the learned languages; ``und`` goes.
+    """The rows of ``docs``, unchanged, that are in one of the learned languages; texts without a letter go.
 
-    Short texts and texts of two languages are often unsure and yet clean, so beside ``und`` only
-    those go that the network tells hardly better than chance.
+    Short texts and texts of two languages are often unsure and yet clean, so beside those without a
+    letter only those go that the network tells hardly better than chance. With fewer than two
+    languages there is nothing to tell apart, and every lettered text stays.
     """
     langs, net = model
-    confident = over_chance / max(1, len(langs))
+    confident = min(over_chance / max(1, len(langs)), SURE) if len(langs) > 1 else 0.0
 
     def keep(values: list[str | None]) -> list[bool]:
-        letters = [bool(langs) and has_letter(v) for v in values]
+        letters = [has_letter(v) for v in values]
+        if not confident:
+            return letters
         p = document_probabilities(net, [v if k else None for v, k in zip(values, letters, strict=True)]).max(axis=1)
         return [k and bool(x >= confident) for k, x in zip(letters, p, strict=True)]
 
