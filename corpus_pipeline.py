@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm import dedup, langid, packing, simhash, toxicity
+from waymark.llm import dedup, langid, packing, resemblance, toxicity
 from waymark.session import shared_dir
 
 
@@ -33,9 +33,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: of each group of linked fingerprints the document with the smallest id stays."""
-    found = simhash.near_duplicates(docs)
-    return docs.join(found.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """Operator 1: of each group of texts linked by five-word similarity 0.8 the smallest id stays."""
+    return docs.join(resemblance.near_copies(docs).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +43,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", drop_toxic), ("language", keep_known_languages), ("exact dedup", drop_exact_copies), ("near dedup", drop_near_copies), ("packing", pack)]
-#: Learned models and a Hamming join over fingerprints are not SQL; a brute-force version tests it.
+#: Learned models and a similarity join over shingles are not SQL; brute-force versions test them.
 ORACLE_SQL = None
 
 
