@@ -32,7 +32,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wordpiece.count_tokens(table(spark, sf_dir, "documents"))
+    return wordpiece.count_tokens(table(spark, sf_dir, "documents"), spell=True)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,9 @@
 The vocabulary is a trie with two roots: pieces that begin a word, and pieces that go on in it. A
 node's failure link leads to where matching resumes after the longest pieces before it have been
 popped, and carries how many they are; so a word's greedy piece count takes one pass over its
-characters and no piece is ever built. A word without a segmentation is one unknown token.
+characters and no piece is ever built. A word without a segmentation is one unknown token, unless
+words are spelled: then the bare word boundary is a piece where no beginning matches, and a character
+that no piece covers counts as its UTF-8 byte pieces, so that no word loses its length.
 """
 
 from __future__ import annotations
@@ -37,12 +39,30 @@ def vocabulary(path: str) -> tuple[list[str], list[str]]:
     return first, [p for p in plain if BEGIN not in p]
 
 
+def spells(path: str) -> bool:
+    """Whether the piece model has the bare boundary and all byte pieces."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    ids = range(model.get_piece_size())
+    return any(model.id_to_piece(i) == BEGIN for i in ids) and sum(map(model.is_byte, ids)) == 256
+
+
+def byte_pieces(c: str) -> int:
+    return len(c.encode("utf-8", "surrogatepass"))
+
+
 class Automaton:
-    """Nodes 0 and 1 are the roots of beginnings and of continuations; link -1 means no segmentation."""
+    """Nodes 0 and 1 are the roots of beginnings and of continuations; link -1 means no segmentation.
+
+    With ``spell`` the root of beginnings pops the bare boundary and links to the other root, which
+    counts uncovered characters by their bytes.
+    """
 
-    def __init__(self, first: list[str], rest: list[str]):
+    def __init__(self, first: list[str], rest: list[str], spell: bool = False):
+        self.spell = spell
         self.next: list[dict[str, int]] = [{}, {}]
-        self.link, self.popped = [-1, -1], [0, 0]
+        self.link, self.popped = [1 if spell else -1, -1], [1 if spell else 0, 0]
         whole = [False, False]
         for root, pieces in ((0, first), (1, rest)):
             for piece in pieces:
@@ -71,6 +91,8 @@ class Automaton:
                         z = self.link[z]
                     if z >= 0:
                         self.link[v], self.popped[v] = self.next[z][c], n
+                    elif spell:
+                        self.link[v], self.popped[v] = 1, n + byte_pieces(c)
             level = below
 
     def count(self, word: str) -> int:
@@ -82,8 +104,13 @@ class Automaton:
                 n += popped[at]
                 at = link[at]
                 if at < 0:
-                    return -1
-            at = v
+                    break
+            if at >= 0:
+                at = v
+            elif self.spell:
+                n, at = n + byte_pieces(c), 1
+            else:
+                return -1
         while at > 1:
             n += popped[at]
             at = link[at]
@@ -102,25 +129,26 @@ class Counts(dict):
         return n
 
 
-_counts: dict[str, Counts] = {}
+_counts: dict[tuple[str, bool], Counts] = {}
 
 
-def counter(path: str) -> Counts:
-    """One automaton for each worker process and file."""
-    if path not in _counts:
-        _counts[path] = Counts(Automaton(*vocabulary(path)))
-    return _counts[path]
+def counter(path: str, spell: bool = False) -> Counts:
+    """One automaton for each worker process, file and way of counting."""
+    if (path, spell) not in _counts:
+        _counts[path, spell] = Counts(Automaton(*vocabulary(path), spell and spells(path)))
+    return _counts[path, spell]
 
 
-def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", spell: bool = False) -> DataFrame:
     """``SCHEMA`` for each row: words are runs of word characters, or single other signs.
 
-    An unknown word counts as one token. Null and empty texts have zeros.
+    An unknown word counts as one token; with ``spell`` a model that has the boundary and the byte
+    pieces leaves none. Null and empty texts have zeros.
     """
     path = path or default_path()
 
     def run(ids: pa.Array, values: list[str | None]) -> pa.RecordBatch:
-        memo = counter(path)
+        memo = counter(path, spell)
         if len(memo) > MEMO:
             memo.clear()
         rows = np.zeros((len(values), 4), np.int64)
