@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -55,23 +56,31 @@ def tables(query: np.ndarray, book: np.ndarray, metric: str = "l2") -> np.ndarra
 
 def scan(queries: DataFrame, codes: DataFrame, book: np.ndarray, metric: str = "l2", k: int = 10, block_rows: int = 4096) -> DataFrame:
     """``(query, id, d)``: the k nearest codes of each query by table sums, per task; a final
-    top-k is left to the caller. Queries beyond ``block_rows`` must come in blocks."""
-    held = queries.select("query", "vec").orderBy("query").limit(block_rows + 1).toArrow()
-    if held.num_rows > block_rows:
-        raise ValueError(f"over {block_rows} queries in a block")
-    ids, vecs = held.column(0).to_numpy(), matrix(held.column(1))
-    luts = np.stack([tables(v, book, metric) for v in vecs]) if len(vecs) else np.zeros((0, *book.shape[:2]))
-    sent = ship(codes.sparkSession).sparkContext.broadcast((ids, luts))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, table = sent.value
-        for batch in batches:
-            code = matrix(batch.column(1)).astype(np.int64)
-            for q, lut in zip(names, table, strict=True):
-                d = np.zeros(len(code))
-                for j in range(code.shape[1]):
-                    d += lut[j, code[:, j]]
-                keep = np.lexsort((batch.column(0).to_numpy(), d))[:k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), q)), batch.column(0).take(pa.array(keep)), pa.array(d[keep])], ["query", "id", "d"])
-
-    return codes.select("id", "code").mapInArrow(run, "query long, id long, d double")
+    top-k is left to the caller. Queries are taken in hashed blocks of about ``block_rows``, a pass
+    over the codes for each, so that what goes to the tasks is bounded at any number of them."""
+    spark = ship(codes.sparkSession)
+    named = queries.select("query", "vec")
+    blocks = max(1, -(-named.count() // block_rows))
+    passes = []
+    for block in range(blocks):
+        own = named if blocks == 1 else named.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block)
+        held = own.orderBy("query").toArrow()
+        if not held.num_rows and (passes or block < blocks - 1):
+            continue
+        ids, vecs = held.column(0).to_numpy(), matrix(held.column(1))
+        luts = np.stack([tables(v, book, metric) for v in vecs]) if len(vecs) else np.zeros((0, *book.shape[:2]))
+        sent = spark.sparkContext.broadcast((ids, luts))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            names, table = sent.value
+            for batch in batches:
+                code = matrix(batch.column(1)).astype(np.int64)
+                for q, lut in zip(names, table, strict=True):
+                    d = np.zeros(len(code))
+                    for j in range(code.shape[1]):
+                        d += lut[j, code[:, j]]
+                    keep = np.lexsort((batch.column(0).to_numpy(), d))[:k]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), q)), batch.column(0).take(pa.array(keep)), pa.array(d[keep])], ["query", "id", "d"])
+
+        passes.append(codes.select("id", "code").mapInArrow(run, "query long, id long, d double"))
+    return reduce(DataFrame.unionByName, passes)
