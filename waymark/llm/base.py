@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,7 +13,51 @@ from pyspark.sql import functions as F
 from waymark.session import ship
 
 #: Rows of one slice that a Python operator works on at a time, and characters of text in it.
-SLICE_ROWS, SLICE_CHARS = 2048, 4 << 20
+SLICE_ROWS, SLICE_CHARS = 2048, 1 << 20
+#: Bytes that a memo of words may take, about what an entry takes beside its word, and the longest word kept.
+MEMO_BYTES, ENTRY_BYTES, LONGEST = 24 << 20, 256, 64
+
+
+class Memo(dict):
+    """Word -> value, worked out once for each distinct word, and bounded by bytes.
+
+    Words over ``LONGEST`` characters are worked out each time and never kept; once the entries take
+    over ``MEMO_BYTES``, in the midst of a slice or not, all are forgotten.
+    """
+
+    def __init__(self, make: Callable[[str], Any]):
+        super().__init__()
+        self.make, self.held = make, 0
+
+    def __missing__(self, word: str):
+        value = self.make(word)
+        if len(word) <= LONGEST:
+            if self.held > MEMO_BYTES:
+                self.clear()
+                self.held = 0
+            self.held += ENTRY_BYTES + 2 * len(word)
+            self[word] = value
+        return value
+
+
+_held: dict[tuple, Any] = {}
+
+
+def held(key: tuple, make: Callable[[], Any]):
+    """The model or encoder ``key`` of this worker, which holds one at a time: the next one's turn frees the last."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Hand memory that a finished task has freed back to the system (where the C library can)."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
 
 
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -62,20 +108,28 @@ def map_texts(df: DataFrame, fn: Callable[[pa.Array, list[str | None]], pa.Recor
         for batch in batches:
             for ids, values in slices(batch, chars):
                 yield fn(ids, values)
+        release()
 
     return spread(df).mapInArrow(run, schema)
 
 
+#: Strata that a sample draws from at most: those with the most rows.
+MOST_STRATA = 256
+
+
 def sample(df: DataFrame, strata: Column, per_stratum: int | dict[str, int], seed: int) -> DataFrame:
     """About ``per_stratum`` rows of each stratum (or as many as it names), by a hash of ``doc_id``.
 
     The counts come from a narrow scan; the sample's expected size is ``per_stratum`` times the
-    number of strata whatever the size of the table. A row is in or out by its id alone, so a
+    number of strata whatever the size of the table. Strata that a dict doesn't name, and those
+    beyond the ``MOST_STRATA`` largest, are not sampled. A row is in or out by its id alone, so a
     recomputed task chooses the same rows.
     """
-    wanted = per_stratum.get if isinstance(per_stratum, dict) else lambda _: per_stratum
-    keyed = df.withColumn("__stratum", strata.cast("string")).where("__stratum is not null")
-    counts = {r[0]: r[1] for r in keyed.groupBy("__stratum").count().collect()}
+    named = isinstance(per_stratum, dict)
+    wanted = per_stratum.get if named else lambda _: per_stratum
+    keyed = df.withColumn("__stratum", strata.cast("string")).where(F.col("__stratum").isin(list(per_stratum)) if named else "__stratum is not null")
+    counts = {r[0]: r[1] for r in keyed.groupBy("__stratum").count().orderBy(F.desc("count"), "__stratum").limit(MOST_STRATA).collect()}
+    keyed = keyed.where(F.col("__stratum").isin(list(counts))) if len(counts) == MOST_STRATA else keyed
     if not counts:
         return keyed.limit(0)
     share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, wanted(k) / n)))])
@@ -87,12 +141,16 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, per_label: dict[st
     """A bounded training sample ``(doc_id, text, label)`` in doc_id order.
 
     The labels are sampled before the join, so that the broadcast side has at most about
-    ``sum(per_label)`` rows; texts over ``max_chars`` are left out of the sample (never of scoring).
+    ``sum(per_label)`` rows. Labels that ``per_label`` doesn't name (null, or anything but 0 and 1)
+    teach nothing and are ignored, as are null and empty texts. Of a text over ``max_chars`` a part
+    of that length is taken, which starts at a place given by its id.
     """
     named = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[column].cast("int").alias("label"))
     named = named.where(remainder(F.col("doc_id"), folds) != held_out)
     picked = sample(named, F.col("label"), per_label, seed).select("doc_id", "label")
-    rows = texts(docs).where(F.length("text").between(1, max_chars)).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label").collect()
+    start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - max_chars, F.lit(1))).cast("int")
+    part = F.substring(F.col("text"), start + 1, F.lit(max_chars))
+    rows = texts(docs).where(F.length("text") > 0).join(F.broadcast(picked), "doc_id").select("doc_id", part.alias("text"), "label").collect()
     return sorted((r[0], r[1], r[2]) for r in rows)
 
 
@@ -106,5 +164,6 @@ def keep_rows(docs: DataFrame, keep: Callable[[list[str | None]], list[bool]], t
             pair = pa.RecordBatch.from_arrays([batch.column(at), batch.column(at)], ["id", "text"])
             mask = [k for _, values in slices(pair) for k in keep(values)]
             yield batch.filter(pa.array(mask, pa.bool_()))
+        release()
 
     return spread(docs).mapInArrow(run, docs.schema)

@@ -45,6 +45,7 @@ def digested(docs: DataFrame, payload: list[Column], fan: int, rounds: int, id_c
         F.length("__data").cast("long").alias("__bytes"),
         F.xxhash64("__data").alias("__check"),
         F.pmod(F.xxhash64(F.coalesce("__id", F.lit(0)), F.lit(17)), F.lit(fan**rounds)).alias("__run"),
+        F.monotonically_increasing_id().alias("__row"),
     )
 
 
@@ -57,7 +58,7 @@ def survivors(rows: DataFrame, fan: int, rounds: int, keep: str) -> DataFrame:
     best = {"max": F.max, "min": F.min}[keep]
     known = F.col("__id").isNotNull() if keep == "max" else F.col("__id").isNull()
     parent = F.floor(F.col("__run") / fan).cast("long")
-    level = rows.groupBy("__run", *KEY).agg(best(F.struct(known.alias("has"), F.col("__id").alias("id"))).alias("__best"), F.count(F.lit(1)).alias("__n"))
+    level = rows.groupBy("__run", *KEY).agg(best(F.struct(known.alias("has"), F.col("__id").alias("id"), F.col("__row").alias("row"))).alias("__best"), F.count(F.lit(1)).alias("__n"))
     levels = [checkpoint(level)]
     for _ in range(rounds):
         level = levels[-1].withColumn("__run", parent).groupBy("__run", *KEY).agg(best("__best").alias("__best"), F.sum("__n").alias("__n"))
@@ -69,15 +70,16 @@ def survivors(rows: DataFrame, fan: int, rounds: int, keep: str) -> DataFrame:
     return merged
 
 
-def mark(docs: DataFrame, payload: list[Column] | None = None, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", fan: int = FAN, rounds: int | None = None) -> DataFrame:
+def mark(docs: DataFrame, payload: list[Column] | None = None, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", fan: int = FAN, rounds: int | None = None, single: bool = False) -> DataFrame:
     """Each row of ``docs`` as ``payload`` with ``keep_id``, ``group_size``, ``kept`` and ``text_sha256``.
 
     ``payload`` defaults to one struct ``row`` of all columns, so that no name can clash. Texts
     are equal when their bytes are; null counts as empty. Of equal texts the row with the largest
     id (``keep="max"``) or the smallest (``"min"``) stays. ``group_size`` counts rows. A null id
     never survives while its group has another; where all ids are null, all rows are kept under a
-    null ``keep_id``. Repeated rows of the surviving id are all kept: the id names them. An empty
-    table gives an empty result.
+    null ``keep_id``. Repeated rows of the surviving id are all kept: the id names them; with
+    ``single`` only one of them is, and one where all ids are null, told by its place in ``docs``,
+    which must then be a table's scan or a checkpoint. An empty table gives an empty result.
     """
     payload = [F.struct("*").alias("row")] if payload is None else payload
     rounds = rounds or rounds_for(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), fan)
@@ -87,7 +89,7 @@ def mark(docs: DataFrame, payload: list[Column] | None = None, id_col: str = "do
         *rows.columns[: len(payload)],
         F.col("__best.id").alias("keep_id"),
         F.col("__n").cast("long").alias("group_size"),
-        F.col("__id").eqNullSafe(F.col("__best.id")).alias("kept"),
+        (F.col("__row") == F.col("__best.row") if single else F.col("__id").eqNullSafe(F.col("__best.id"))).alias("kept"),
         F.lower(F.hex("__digest")).alias("text_sha256"),
     )
 

@@ -136,7 +136,8 @@ def pack(parts: DataFrame, size: int = SIZE) -> DataFrame:
     salts = max(8, int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     histogram = {r[0]: r[1] for r in parts.groupBy("length").count().collect()}
     table = places(plan(histogram, size))
-    salted = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    # The written part is in the hash so that repeated or null ids don't share a salt.
+    salted = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", F.spark_partition_id()), F.lit(salts)))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = salted.groupBy("length", "salt").count().select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece")
@@ -159,5 +160,10 @@ def pack(parts: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def packed(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFrame:
-    """Tokenise and pack all documents: the contract's columns."""
+    """Tokenise and pack all documents: the contract's columns.
+
+    A null or empty text is one piece of one token; a null id, repeated rows and repeated ids are
+    packed row by row; an empty table gives an empty result; other columns are not read. Texts are
+    taken whole, a stretch at a time, and pieces of equal length take places in any order.
+    """
     return pack(pieces(docs, path, size), size)

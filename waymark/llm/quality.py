@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .base import labelled, map_texts, remainder, texts
 
 #: Bounds of the training sample: rows of each label, and characters of a text.
-TRAIN_ROWS, TRAIN_CHARS = {"0": 900, "1": 2100}, 8_000
+TRAIN_ROWS, TRAIN_CHARS = {"0": 900, "1": 2100}, 1 << 16
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
 ROUNDS, STEPS, RATE, L2 = 3, 70, 0.4, 1e-4
 SCHEMA = "doc_id long, score double"
@@ -201,6 +201,11 @@ def score(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str =
 
 
 def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Train on the learnable labelled rows, then score every row: the contract's columns."""
+    """Train on the learnable labelled rows, then score every row: the contract's columns.
+
+    Null and empty texts are one good empty line; repeated rows give repeated rows; an empty table
+    gives none. Without usable labels (none, or none of 0 and 1) all lines are as likely good as bad.
+    Other columns, whatever their names, are not read. Whole texts are scored, however long.
+    """
     out = score(docs, fit(labelled(docs, labels, "quality", TRAIN_ROWS, TRAIN_CHARS, FOLDS, HELD_OUT)))
     return out.select("doc_id", (remainder(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

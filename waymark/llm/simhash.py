@@ -222,12 +222,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``doc_id, fingerprint, component_id``, a row for each row of ``docs``.
 
     Null and empty texts have fingerprint zero and link like any other. A component's id is the
-    smallest doc_id in it; null ids are never chosen unless there is no other.
+    smallest doc_id in it; null ids are never chosen unless there is no other. Repeated rows give
+    repeated rows, an empty table none; other columns, whatever their names, are not read. Texts are
+    read whole, however long.
     """
     table = checkpoint(fingerprint_table(docs, id_col, text_col, size))
+    return linked(table, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def linked(table: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``doc_id, fp, component_id`` for each row of ``table(doc_id, fp)``."""
     points = table.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(near(points.select("fp"), radius)).select(F.col("v").alias("fp"), "root")
     named = checkpoint(points.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     found = named.join(least, "root").select("fp", "component_id")
-    return table.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return table.join(found, "fp").select("doc_id", "fp", "component_id")

@@ -18,13 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import base
 from .base import keep_rows, labelled, map_texts, remainder, texts
 from .trees import Boosted, boost, isotonic
 
 #: Bounds of the training sample: rows of each label, and characters of a text.
-TRAIN_ROWS, TRAIN_CHARS = {"1": 900, "0": 2700}, 8_000
+TRAIN_ROWS, TRAIN_CHARS = {"1": 900, "0": 2700}, 1 << 16
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.5
-STEMS, NEAR, MEMO = (4, 5, 6), 5, 400_000
+STEMS, NEAR = (4, 5, 6), 5
 SCHEMA = "doc_id long, score double"
 EDGES = ".,;:!?\"'()[]{}<>*$%&#|-_~`"
 SECOND = frozenset("you your yours yourself u ur thou thee du dich dir dein deine deiner euch euer ihr tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros vuestro os".split())
@@ -74,38 +75,32 @@ def learn_lexicon(totals: list[int], seen: tuple) -> Lexicon:
     return Lexicon(*chosen)
 
 
-class Memo(dict):
-    """Token -> row of attributes, worked out once for each distinct token; its size is bounded."""
+class Memo(base.Memo):
+    """Token -> attributes (word weight, stem weight, second person) as one packed number.
+
+    The weights are kept as ranks among the lexicon's distinct weights, so that a value is a small
+    integer and the attributes of a whole text are array lookups.
+    """
 
     def __init__(self, lexicon: Lexicon):
-        super().__init__()
-        self.words, self.stems = lexicon.words, lexicon.stems
-        self.fresh: list[tuple] = []
-        self.table = np.zeros((1 << 14, 3), np.float32)
-
-    def __missing__(self, token: str) -> int:
-        word, stems = token.lower().strip(EDGES), self.stems
-        hit = self.words.get(word, 0.0)
-        if not hit and not word.isalpha():
-            hit = self.words.get(word.translate(LEET), 0.0)
-        stem = max(stems.get(word[:4], 0.0), stems.get(word[:5], 0.0), stems.get(word[:6], 0.0))
-        self.fresh.append((hit, stem, word in SECOND))
-        self[token] = code = len(self)
-        return code
-
-    def attributes(self) -> np.ndarray:
-        """The table of all tokens seen so far."""
-        if self.fresh:
-            size = len(self)
-            if size > len(self.table):
-                self.table = np.concatenate([self.table, np.zeros((max(size, len(self.table)), 3), np.float32)])
-            self.table[size - len(self.fresh) : size] = self.fresh
-            self.fresh.clear()
-        return self.table
-
-    def forget(self) -> None:
-        self.clear()
-        self.fresh.clear()
+        super().__init__(self.code)
+        self.weights = np.array(sorted({0.0, *lexicon.words.values(), *lexicon.stems.values()}), np.float32)
+        rank = {float(w): k for k, w in enumerate(sorted({0.0, *lexicon.words.values(), *lexicon.stems.values()}))}
+        self.words = {w: rank[v] for w, v in lexicon.words.items()}
+        self.stems = {w: rank[v] for w, v in lexicon.stems.items()}
+        self.zero = rank[0.0]
+
+    def code(self, token: str) -> int:
+        word, words, stems, zero = token.lower().strip(EDGES), self.words, self.stems, self.zero
+        hit = words.get(word, zero)
+        if hit == zero and not word.isalpha():
+            hit = words.get(word.translate(LEET), zero)
+        stem = max(stems.get(word[:4], zero), stems.get(word[:5], zero), stems.get(word[:6], zero))
+        return hit << 33 | stem << 1 | (word in SECOND)
+
+    def attributes(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word weight, stem weight, whether second person) of packed attributes."""
+        return self.weights[codes >> 33], self.weights[codes >> 1 & 0xFFFFFFFF], codes & 1
 
 
 #: Classes of bytes: 1 letters (with all non-ASCII bytes), 2 capitals, 3 digits and signs used inside words, 4 marks.
@@ -134,8 +129,6 @@ def _rates(values: list[str | None]) -> np.ndarray:
 
 def features(values: list[str | None], memo: Memo) -> np.ndarray:
     """Dense features, one row per text; a text without words is all zeros."""
-    if len(memo) > MEMO:
-        memo.forget()
     codes, counts = [], []
     for v in values:
         tokens = v.split() if v else []
@@ -145,11 +138,10 @@ def features(values: list[str | None], memo: Memo) -> np.ndarray:
     out = np.zeros((len(values), len(NAMES)))
     if not counts.sum():
         return out
-    table = memo.attributes()
     code = np.concatenate(codes)
     owner = np.repeat(np.arange(len(values)), counts)
     total = lambda column: np.bincount(owner, column, len(values))
-    hit, stem, second = (table[:, k][code] for k in range(3))
+    hit, stem, second = memo.attributes(code)
     found = np.flatnonzero((hit > 0) | (stem > 0))
     places = np.flatnonzero(second)
     near = np.zeros(len(found), bool)
@@ -231,6 +223,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: dict[str, int] | None = None
 
 
 def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Train, then score every row: the contract's columns."""
+    """Train, then score every row: the contract's columns.
+
+    Null and empty texts are scored as having no words; repeated rows give repeated rows; an empty
+    table gives none. Without usable labels (none, or none of 0 and 1) every score is low and equal.
+    Other columns, whatever their names, are not read. Whole texts are scored, however long.
+    """
     out = score(docs, train(docs, labels))
     return out.select("doc_id", (remainder(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -12,10 +12,12 @@ import json
 
 import numpy as np
 
+from .base import ENTRY_BYTES, LONGEST, MEMO_BYTES, held
+
 #: Marks that may follow a word's letters: neither letters, digits, apostrophes nor white space.
 TAIL = ".,;:!?\"()[]{}<>*$%&#|-_~`+=/\\^@"
-#: Distinct words that one worker remembers.
-MEMO = 500_000
+#: Characters of text that are split into words at a time.
+STRETCH = 1 << 18
 
 
 def default_path() -> str:
@@ -36,6 +38,7 @@ class Encoder(dict):
 
     def __init__(self, path: str):
         super().__init__()
+        self.held, self.long = 0, []
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -59,6 +62,12 @@ class Encoder(dict):
         self.direct = self.direct and all(bytes([b]) in ranks for b in range(256))
         self.fast = tiktoken.Encoding("words", pat_str="[^ ]+", mergeable_ranks=ranks, special_tokens={}) if self.direct else None
 
+    def keep(self, word: str, ids: bytes) -> None:
+        self[word] = ids
+        self.held += ENTRY_BYTES + 2 * len(word) + len(ids)
+        if len(word) > LONGEST:
+            self.long.append(word)
+
     def learn(self, words: set[str]) -> None:
         plain, spelled, parts, other = [], [], [], []
         for w in words:
@@ -75,27 +84,54 @@ class Encoder(dict):
             ends = (np.flatnonzero(self.last[ids]) + 1)[np.cumsum(parts[at : at + 20_000]) - 1] * 4
             raw, start = ids.tobytes(), 0
             for w, end in zip(plain[at : at + 20_000], ends.tolist(), strict=True):
-                self[w] = raw[start:end]
+                self.keep(w, raw[start:end])
                 start = end
         if other:
             for w, e in zip(other, self.whole.encode_batch_fast(other, add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, dtype="<u4").tobytes()
+                self.keep(w, np.array(e.ids, dtype="<u4").tobytes())
 
     def encode(self, values: list[str | None]) -> list[bytes]:
-        """The ids of each whole text; null counts as empty."""
-        if len(self) > MEMO:
-            self.clear()
-        split = [v.replace("\n", " ").split(" ") if v else [] for v in values]
-        self.learn({w for words in split for w in words} - self.keys())
-        get = self.__getitem__
-        return [b"".join(map(get, words)) for words in split]
-
-
-_encoders: dict[str, Encoder] = {}
+        """The ids of each whole text; null counts as empty. Words are worked on a stretch at a time."""
+        out: list[list[bytes]] = [[] for _ in values]
+        waiting: list[tuple[int, list[str]]] = []
+        size = 0
+
+        def flush() -> None:
+            if self.held > MEMO_BYTES:
+                self.clear()
+                self.held = 0
+            self.learn({w for _, words in waiting for w in words} - self.keys())
+            get = self.__getitem__
+            for i, words in waiting:
+                out[i].append(b"".join(map(get, words)))
+            for w in self.long:
+                self.held -= ENTRY_BYTES + 2 * len(w) + len(self.pop(w))
+            waiting.clear(), self.long.clear()
+
+        for i, v in enumerate(values):
+            for part in stretches(v) if v else ():
+                waiting.append((i, part.split(" ")))
+                size += len(part)
+                if size >= STRETCH:
+                    flush()
+                    size = 0
+        flush()
+        return [b"".join(parts) for parts in out]
+
+
+def stretches(text: str):
+    """The text with line feeds as spaces, cut at spaces into parts of about ``STRETCH`` characters."""
+    text = text.replace("\n", " ")
+    at = 0
+    while len(text) - at > STRETCH:
+        end = text.find(" ", at + STRETCH)
+        if end < 0:
+            break
+        yield text[at:end]
+        at = end + 1
+    yield text[at:] if at else text
 
 
 def encoder(path: str) -> Encoder:
     """One encoder for each worker process and file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return held(("wordbpe", path), lambda: Encoder(path))

@@ -16,10 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .base import map_texts, texts
+from .base import Memo, held, map_texts, texts
 
 WORD = re.compile(r"\w+|[^\w\s]")
-MEMO, BEGIN = 600_000, "▁"
+BEGIN = "▁"
 SCHEMA = "doc_id long, n_words long, n_tokens long, n_unknown long, longest_word_tokens long"
 
 
@@ -117,31 +117,17 @@ class Automaton:
         return n if at >= 0 else -1
 
 
-class Counts(dict):
-    """Word -> count, worked out once for each distinct word; its size is bounded."""
-
-    def __init__(self, automaton: Automaton):
-        super().__init__()
-        self.count = automaton.count
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = self.count(word)
-        return n
-
-
-_counts: dict[tuple[str, bool], Counts] = {}
-
-
-def counter(path: str, spell: bool = False) -> Counts:
-    """One automaton for each worker process, file and way of counting."""
-    if (path, spell) not in _counts:
-        _counts[path, spell] = Counts(Automaton(*vocabulary(path), spell and spells(path)))
-    return _counts[path, spell]
+def counter(path: str, spell: bool = False) -> Memo:
+    """Word -> count, by one automaton for each worker process, file and way of counting."""
+    return held(("counts", path, spell), lambda: Memo(Automaton(*vocabulary(path), spell and spells(path)).count))
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", spell: bool = False) -> DataFrame:
     """``SCHEMA`` for each row: words are runs of word characters, or single other signs.
 
+    Whole texts are counted, however long; repeated rows give repeated rows, an empty table none;
+    other columns are not read.
+
     An unknown word counts as one token; with ``spell`` a model that has the boundary and the byte
     pieces leaves none. Null and empty texts have zeros.
     """
@@ -149,11 +135,9 @@ def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
 
     def run(ids: pa.Array, values: list[str | None]) -> pa.RecordBatch:
         memo = counter(path, spell)
-        if len(memo) > MEMO:
-            memo.clear()
         rows = np.zeros((len(values), 4), np.int64)
         for i, v in enumerate(values):
-            words = WORD.findall(v) if v else []
+            words = WORD.findall(v) if v else ()
             if words:
                 n = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
                 unknown = int((n < 0).sum())
