@@ -17,28 +17,39 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: texts whose calibrated toxicity is a half or more go."""
+    """Operator 5: texts whose calibrated toxicity is a half or more go.
+
+    Null and empty texts stay; repeated rows are judged alike. Without usable labels nothing goes.
+    """
     model = toxicity.train(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return toxicity.clean(docs, model)
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: texts without a letter, or in none of the learned languages, go."""
+    """Operator 10: texts without a letter, or in none of the learned languages, go.
+
+    Null and empty texts have no letter. With fewer than two learned languages all others stay.
+    """
     return langid.known(docs, langid.fit(langid.training_rows(_table(spark, sf_dir, "documents"))))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: of equal texts the row with the largest id stays."""
-    return dedup.mark(docs).where("kept").select("row.*")
+    """Operator 9: of equal texts (null counts as empty) one row of the largest id stays."""
+    return dedup.mark(docs, single=True).where("kept").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: of each group of texts linked by five-word similarity 0.8 the smallest id stays."""
-    return docs.join(resemblance.near_copies(docs).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """Operator 1: of each group of texts linked by five-word similarity 0.8 the smallest id stays.
+
+    Fingerprints of five words within three bits are linked through the vantage-point trees, other
+    candidates through MinHash bands, and every link is verified by exact similarity. Texts without a
+    word stay; rows are told apart by their place, whatever their ids.
+    """
+    return resemblance.without_near_copies(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: the kept documents as packed sequences."""
+    """Operator 8: the kept documents as packed sequences; null and empty texts are one token each."""
     return packing.packed(docs)
 
 
@@ -48,7 +59,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed pieces of all documents that the filters and both deduplications keep."""
+    """The packed pieces of all documents that the filters and both deduplications keep.
+
+    Extra columns pass through all stages but the last, whatever their names; an empty table gives
+    an empty result.
+    """
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         folder = shared_dir(spark, f"pipeline-{name.replace(' ', '-')}")
