@@ -1,8 +1,9 @@
 """WARC archives with revisit records and a two-level capture index.
 
 Writing: every task writes its rows as one archive of gzip members in the shared folder and hands
-on a capture line for each: reversed-host URL key, id, file, offset and length. Lines are sorted by
-range into index shards; a shard holds compressed blocks of ``BLOCK`` lines and, beside them, a
+on a capture line for each: reversed-host URL key, id, payload digest, file, offset and length. The
+first three name a capture, so rows that share URL and id and differ in payload are told apart, and
+records that share all three are equal. Lines are sorted by range into index shards; a shard holds compressed blocks of ``BLOCK`` lines and, beside them, a
 sparse directory with the first line of each block. Reading a capture is a binary search among the
 shards' first keys, one in the shard's directory, one in the block (a range read), and then a range
 read of the archive. Only the list of shards, as long as the index has partitions, is ever on the
@@ -23,6 +24,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +34,7 @@ BLOCK, LEAST_REVISIT, LEVEL = 256, 0, 6
 #: The id that stands for null in keys: below all others.
 NO_ID = -(1 << 63)
 URL = re.compile(r"^[A-Za-z][\w+.-]*://(?:[^/?#@]*@)?([^/?#]*)([^#]*)")
-CAPTURES = "key string, id long, file string, offset long, length long"
+CAPTURES = "key string, id long, tag string, file string, offset long, length long"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, uri string, file string, offset long"
 
 
@@ -98,10 +100,10 @@ def facts(found: dict) -> tuple:
 
 @dataclass(frozen=True)
 class Archive:
-    """Where the archives and the index are: shards as (first key, first id, file), in order."""
+    """Where the archives and the index are: shards as (first key, first id, first digest, file), in order."""
 
     folder: str
-    shards: list[tuple[str, int, str]]
+    shards: list[tuple[str, int, str, str]]
 
 
 def named(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -136,9 +138,10 @@ def write(pages: DataFrame, folder: str | None = None, block: int = BLOCK) -> Ar
                     out = store.open_output_stream(f"{root}/{name}", compression=None)
                 member = record(page, url, payload, origin)
                 out.write(member)
-                rows.append((url_key(url), NO_ID if page is None else page, name, at, len(member)))
+                rows.append((url_key(url), NO_ID if page is None else page, hashlib.sha1(payload).hexdigest(), name, at, len(member)))
                 at += len(member)
-            yield pa.RecordBatch.from_pylist([dict(zip(("key", "id", "file", "offset", "length"), r, strict=True)) for r in rows], schema=pa.schema([("key", pa.string()), ("id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], ["key", "id", "tag", "file", "offset", "length"])
         if out is not None:
             out.close()
 
@@ -146,15 +149,15 @@ def write(pages: DataFrame, folder: str | None = None, block: int = BLOCK) -> Ar
         store, root = fs.FileSystem.from_uri(folder)
         name, out, at = f"{uuid.uuid4().hex}.cdx.gz", None, 0
         held: list[tuple] = []
-        directory: list[tuple[str, int, int, int]] = []
+        directory: list[tuple[str, int, str, int, int]] = []
 
         def flush(n: int) -> None:
             nonlocal at, out
             if out is None:
                 out = store.open_output_stream(f"{root}/{name}", compression=None)
-            part = zlib.compress("".join(f"{k} {i} {f} {o} {m}\n" for k, i, f, o, m in held[:n]).encode(), LEVEL)
+            part = zlib.compress("".join(f"{k} {i} {t} {f} {o} {m}\n" for k, i, t, f, o, m in held[:n]).encode(), LEVEL)
             out.write(part)
-            directory.append((held[0][0], held[0][1], at, len(part)))
+            directory.append((*held[0][:3], at, len(part)))
             at += len(part)
             del held[:n]
 
@@ -167,14 +170,16 @@ def write(pages: DataFrame, folder: str | None = None, block: int = BLOCK) -> Ar
         if out is not None:
             out.close()
             with store.open_output_stream(f"{root}/{name}.idx", compression=None) as beside:
-                beside.write("".join(f"{k} {i} {o} {m}\n" for k, i, o, m in directory).encode())
-            yield pa.RecordBatch.from_pydict({"key": [directory[0][0]], "id": [directory[0][1]], "file": [name]})
+                beside.write("".join(f"{k} {i} {t} {o} {m}\n" for k, i, t, o, m in directory).encode())
+            # Shards that begin with the same capture are told apart by their range.
+            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "key": [directory[0][0]], "id": [directory[0][1]], "tag": [directory[0][2]], "file": [name]})
 
     captures = checkpoint(pages.select("page_id", "url", "payload", "refers_to").mapInArrow(archive, CAPTURES))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = captures.repartitionByRange(parts, "key", "id").sortWithinPartitions("key", "id")
-    shards = ordered.mapInArrow(index, "key string, id long, file string").collect()
-    return Archive(folder, sorted((r[0], r[1], r[2]) for r in shards))
+    order = ["key", "id", "tag", "file", "offset"]  # a capture that very many rows repeat is split over shards
+    ordered = captures.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    shards = ordered.mapInArrow(index, "part int, key string, id long, tag string, file string").collect()
+    return Archive(folder, [tuple(r)[1:] for r in sorted(shards, key=lambda r: r.part)])
 
 
 class Reader:
@@ -183,13 +188,10 @@ class Reader:
     def __init__(self, archive: Archive):
         self.archive = archive
         self.store, self.root = fs.FileSystem.from_uri(archive.folder)
-        self.firsts = [(k, i) for k, i, _ in archive.shards]
-        self.directories: dict[int, list[tuple[str, int, int, int]]] = {}
+        self.firsts = [s[:3] for s in archive.shards]
+        self.directories: dict[int, list[tuple[str, int, str, int, int]]] = {}
         self.files: dict[str, pa.NativeFile] = {}
-        self.block: tuple[tuple[int, int], list[tuple[str, int]], list[list[str]]] | None = None
-
-    def shard(self, key: str, page: int) -> int:
-        return max(0, bisect_right(self.firsts, (key, page)) - 1)
+        self.block: tuple[tuple[int, int], list[tuple[str, int, str]], list[list[str]]] | None = None
 
     def read(self, name: str, offset: int, length: int) -> bytes:
         if name not in self.files:
@@ -198,47 +200,65 @@ class Reader:
             self.files[name] = self.store.open_input_file(f"{self.root}/{name}")
         return self.files[name].read_at(length, offset)
 
-    def directory(self, shard: int) -> list[tuple[str, int, int, int]]:
+    def directory(self, shard: int) -> list[tuple[str, int, str, int, int]]:
         if shard not in self.directories:
             self.directories = {shard: []}
-            with self.store.open_input_stream(f"{self.root}/{self.archive.shards[shard][2]}.idx", compression=None) as f:
+            with self.store.open_input_stream(f"{self.root}/{self.archive.shards[shard][3]}.idx", compression=None) as f:
                 for line in f.read().decode().splitlines():
-                    key, i, offset, length = line.split(" ")
-                    self.directories[shard].append((key, int(i), int(offset), int(length)))
+                    key, i, tag, offset, length = line.split(" ")
+                    self.directories[shard].append((key, int(i), tag, int(offset), int(length)))
         return self.directories[shard]
 
-    def locate(self, key: str, page: int) -> tuple[str, int, int] | None:
+    def lines(self, shard: int, k: int) -> tuple[list[tuple[str, int, str]], list[list[str]]]:
+        """Names and lines of block ``k`` of a shard."""
+        if self.block is None or self.block[0] != (shard, k):
+            *_, offset, length = self.directory(shard)[k]
+            lines = [line.split(" ") for line in zlib.decompress(self.read(self.archive.shards[shard][3], offset, length)).decode().splitlines()]
+            self.block = ((shard, k), [(x[0], int(x[1]), x[2]) for x in lines], lines)
+        return self.block[1:]
+
+    def locate(self, key: str, page: int, tag: str) -> tuple[str, int, int] | None:
         """File, offset and length of a capture, or None."""
+        wanted = (key, page, tag)
         if not self.firsts:
             return None
-        shard = self.shard(key, page)
-        directory = self.directory(shard)
-        k = max(0, bisect_right(directory, (key, page, 1 << 62)) - 1)
-        if self.block is None or self.block[0] != (shard, k):
-            _, _, offset, length = directory[k]
-            lines = [line.split(" ") for line in zlib.decompress(self.read(self.archive.shards[shard][2], offset, length)).decode().splitlines()]
-            self.block = ((shard, k), [(x[0], int(x[1])) for x in lines], lines)
-        _, keys, lines = self.block
-        at = bisect_left(keys, (key, page))
-        if at == len(keys) or keys[at] != (key, page):
+        shard = max(0, bisect_right(self.firsts, wanted) - 1)
+        names, lines = self.lines(shard, max(0, bisect_right(self.directory(shard), (*wanted, 1 << 62)) - 1))
+        at = bisect_left(names, wanted)
+        if at == len(names) or names[at] != wanted:
             return None
-        return lines[at][2], int(lines[at][3]), int(lines[at][4])
-
-
-def read(wanted: DataFrame, archive: Archive, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+        return lines[at][3], int(lines[at][4]), int(lines[at][5])
+
+    def captures(self, key: str, page: int) -> Iterator[tuple[str, int, int]]:
+        """File, offset and length of every capture of a URL key and id."""
+        wanted = (key, page, "")
+        for shard in range(max(0, bisect_left(self.firsts, wanted) - 1), len(self.firsts)):
+            if self.firsts[shard][:2] > wanted[:2]:
+                return
+            directory = self.directory(shard)
+            for k in range(max(0, bisect_left(directory, wanted) - 1), len(directory)):
+                if directory[k][:2] > wanted[:2]:
+                    return
+                for name, line in zip(*self.lines(shard, k), strict=True):
+                    if name[:2] == wanted[:2]:
+                        yield line[3], int(line[4]), int(line[5])
+
+
+def read(wanted: DataFrame, archive: Archive, id_col: str = "page_id", url_col: str = "url", tag_col: str | None = None) -> DataFrame:
     """``RECORDS`` for the captures of ``wanted(page_id, url)``, through the index.
 
-    A capture that the index lacks gives no row. Repeated rows are read again each.
+    With ``tag_col``, the payload's SHA-1 in hexadecimal digits, a row names one capture and gives one
+    record; without it a row gives every capture of its URL and id. What the index lacks gives no row;
+    repeated rows are read again each. Requests are dealt by ranges of the index's own order, so that a
+    task reads few blocks, and a capture that very many rows want is read by several tasks.
     """
     spark = ship(wanted.sparkSession)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(archive)
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [NO_ID if i is None else i for i in batch.column(0).to_pylist()]
             keys = [url_key(u) for u in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([reader.shard(k, i) for k, i in zip(keys, ids, strict=True)], pa.int32()), pa.array(keys, pa.string()), pa.array(ids, pa.int64())], ["shard", "key", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), batch.column(0).fill_null(NO_ID), batch.column(2), batch.column(3)], ["key", "id", "tag", "salt"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(archive)
@@ -246,19 +266,29 @@ def read(wanted: DataFrame, archive: Archive, id_col: str = "page_id", url_col:
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
         for batch in batches:
             rows = []
-            for key, page in zip(batch.column("key").to_pylist(), batch.column("id").to_pylist(), strict=True):
-                if place := reader.locate(key, page):
-                    rows.append((*facts(parse(reader.read(*place))), place[0], place[1]))
+            for key, page, tag in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                places = reader.captures(key, page) if tag is None else [reader.locate(key, page, tag)]
+                rows += [(*facts(parse(reader.read(*place))), *place[:2]) for place in places if place]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(names), kinds, strict=True)], names)
 
-    keyed = wanted.select(wanted[id_col].cast("long").alias("page_id"), wanted[url_col].cast("string").alias("url")).mapInArrow(route, "shard int, key string, id long")
-    return keyed.repartition(parts, "shard").sortWithinPartitions("shard", "key", "id").mapInArrow(fetch, RECORDS)
+    tag = wanted[tag_col].cast("string") if tag_col else F.lit(None).cast("string")
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(64)).cast("int")
+    asked = wanted.select(wanted[id_col].cast("long").alias("page_id"), wanted[url_col].cast("string").alias("url"), tag.alias("tag"), salt.alias("salt")).mapInArrow(keyed, "key string, id long, tag string, salt int")
+    return asked.repartitionByRange(parts, "key", "id", "tag", "salt").sortWithinPartitions("key", "id", "tag").mapInArrow(fetch, RECORDS)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write every page, then read every record back through the index: the contract's columns."""
-    archive = write(with_origin(named(pages)))
-    return read(pages, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Write every page, then read every record back through the index: the contract's columns.
+
+    A null html is an empty payload; null or repeated ids and URLs are records of their own, and equal
+    rows give equal records. A null id never is an origin; where an origin's id repeats, all rows of
+    that id are responses. Other columns are not read; payloads are held whole, one at a time; an empty
+    table writes nothing and gives no row.
+    """
+    rows = named(pages)
+    archive = write(with_origin(rows))
+    wanted = rows.select("page_id", "url", F.sha1("payload").alias("tag"))
+    return read(wanted, archive, tag_col="tag").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 SQL = """
