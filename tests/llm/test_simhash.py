@@ -80,14 +80,28 @@ def test_links_span_all_components():
 
 def test_shards_lose_no_link():
     points = clustered(700, 2)
-    tree = S.grow(points[::5].copy(), 4)
-    shard, at, home = S.deal(points, tree, 4, 3)
-    assert sorted(at[home].tolist()) == list(range(len(points)))
-    a, b = zip(*(S.links(points[at[(shard == k) & home]], points[at[(shard == k) & ~home]]) for k in range(16)), strict=True)
+    a, b = [], []
+    for mask in S.HALVES:
+        tree = S.grow(points[::2].copy(), mask, 1, 2.0, 200)
+        leaf, at, home = S.deal(points, np.ones(len(points), bool), tree, mask, 1)
+        assert sorted(at[home].tolist()) == list(range(len(points))) and leaf.max() > 4
+        for k in range(leaf.max() + 1):
+            x, y = S.links(points[at[(leaf == k) & home]], points[at[(leaf == k) & ~home]], 3, mask)
+            a.append(x), b.append(y)
     got = stars(*S.forest(np.concatenate(a), np.concatenate(b)))
     assert {p: got.get(p, p) for p in points.tolist()} == union(points.tolist(), [(int(x), int(y)) for x, y in linked(points)])
 
 
+def test_guests_grow_slowly():
+    """Rows a random fingerprint in each half's tree of about 12 levels: at most 1.25 a level."""
+    rng = np.random.default_rng(3)
+    points = rng.integers(0, 1 << 64, 1 << 18, np.uint64)
+    tree = S.grow(points, S.HALVES[0], 1, 1.0, 64)
+    leaf, _, _ = S.deal(points[:4096], np.ones(4096, bool), tree, S.HALVES[0], 1)
+    levels = np.log2(len(tree[1]) + 1)
+    assert levels > 11 and len(leaf) / 4096 < 1.25**levels
+
+
 def test_a_set_that_no_point_splits(monkeypatch):
     monkeypatch.setattr(S, "CELLS", 64)
     base = np.uint64(12345)
@@ -107,7 +121,8 @@ def test_components_of_random_graphs(spark):
 
 
 def test_near_duplicates(spark, odd, none, monkeypatch):
-    monkeypatch.setattr(S, "SHARD", 8)
+    monkeypatch.setattr(S, "SHARD", 40)
+    monkeypatch.setattr(S, "FEWEST", 8)
     rng = random.Random(4)
     words = [f"w{k}" for k in range(500)]
     texts = []
