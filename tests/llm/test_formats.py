@@ -196,6 +196,46 @@ def test_sampled_pieces_are_lossless_and_reproducible(odd, none):
     assert back == {r.doc_id: r.text or "" for r in odd.collect() if r.doc_id and r.doc_id < 8}
 
 
+def test_long_segments_are_one_lattice(monkeypatch):
+    """Words over any cut: pieces cross every place, draws equal the whole lattice's, the mean length is exact."""
+    m = sampling.model(sampling.default_path())
+    keys = sampling.mix(np.arange(40, dtype=np.uint64))
+    monkeypatch.setattr(sampling, "PART", 37)
+    for word in (" " + "international" * 20, "é日本\U0001F44D" * 30, "x" * 301, " " * 25 + "https://a.b/c?d=e&f=" * 9):
+        lattice = sampling.Lattice(m, [word])
+        for k in range(6):
+            whole, _ = lattice.draw(np.zeros(1, np.int64), keys[k : k + 1])
+            assert sampling.draw_long(m, word, keys[k : k + 1]).tolist() == whole.tolist()
+    word = "international" * 8
+    covered = np.zeros(len(word) + 1, bool)
+    for i in sampling.encode(m, [word] * 400, np.arange(400)):
+        ends = np.cumsum([len(m.bytes[p]) for p in i.tolist()]) - 1
+        covered |= ~np.isin(np.arange(len(word) + 1), ends)
+    assert covered[60:70].all()
+    # Expected number of pieces by a plain recurrence over (weight, weight times pieces).
+    raw = b" " + word.encode()
+    total = [(1.0, 0.0)]
+    for end in range(1, len(raw) + 1):
+        w = n = 0.0
+        for i, p in enumerate(m.bytes):
+            if p and i >= 259 and len(p) <= end and raw[end - len(p) : end] == p:
+                a, b = total[end - len(p)]
+                w, n = w + a * np.exp(m.weight[i]), n + (a + b) * np.exp(m.weight[i])
+        total.append((w, n))
+    seen = np.mean([len(x) for x in sampling.encode(m, [word] * 3000, np.arange(3000))])
+    assert abs(seen - total[-1][1] / total[-1][0]) < 0.25
+
+
+def test_stretches_change_nothing(monkeypatch):
+    m = sampling.model(sampling.default_path())
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["the", "unbelievable", "x" * 230, "\n", "", "日本語"]) for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    want = [x.tolist() for x in sampling.encode(m, texts, np.arange(40))]
+    monkeypatch.setattr(sampling, "STRETCH", 90)
+    assert [x.tolist() for x in sampling.encode(m, texts, np.arange(40))] == want
+    assert [sampling.decode(m, np.array(x, np.int64)).decode() for x in want] == texts
+
+
 def test_sampling_follows_the_lattice():
     m = sampling.model(sampling.default_path())
 
