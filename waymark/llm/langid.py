@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 
 from .base import keep_rows, map_texts, remainder, sample, texts
 
-WINDOW = 128
+WINDOW = 512
 #: Bounds of the training sample: documents of each language, and characters of each document.
 TRAIN_DOCS, TRAIN_CHARS = 400, 512
 #: Windows of each language in an epoch, and their bytes.
-TRAIN_WINDOWS, TRAIN_WINDOW = 1200, 64
-HIDDEN, EPOCHS, BATCH, RATE, SEED = 8, 6, 128, 0.02, 11
+TRAIN_WINDOWS, TRAIN_WINDOW = 900, 128
+HIDDEN, EPOCHS, BATCH, RATE, SEED = 10, 6, 128, 0.02, 11
 FOLDS, HELD_OUT = 4, 2
 LETTER = re.compile(r"[^\W\d_]")
 SCHEMA = "doc_id long, lang_pred string, score double"
@@ -184,7 +184,7 @@ def fit(rows: list[tuple[str, str]], hidden: int = HIDDEN, epochs: int = EPOCHS,
     return langs, net
 
 
-def document_probabilities(net: dict, values: list[str | None], width: int = 2048) -> np.ndarray:
+def document_probabilities(net: dict, values: list[str | None], width: int = 1024) -> np.ndarray:
     """Mean position probabilities (documents, languages); a text without bytes gets zeros."""
     raws = [(v or "").encode("utf-8", "replace") for v in values]
     sizes = np.array([len(r) for r in raws])
@@ -272,6 +272,11 @@ def known(docs: DataFrame, model: tuple[list[str], dict], text_col: str = "text"
 
 
 def predictions(docs: DataFrame) -> DataFrame:
-    """Fit on the learnable rows of ``docs`` and predict every row: the contract's columns."""
+    """Fit on the learnable rows of ``docs`` and predict every row: the contract's columns.
+
+    Null texts and texts without a letter are ``und``; repeated rows give repeated rows; an empty table
+    gives none. Languages beyond the ``base.MOST_STRATA`` most frequent are not learned. Other columns
+    are not read. Whole texts are read, however long.
+    """
     out = identify(docs, fit(training_rows(docs)))
     return out.select("doc_id", (remainder(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "lang_pred", "score")
