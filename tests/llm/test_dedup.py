@@ -44,4 +44,5 @@ def test_null_ids_only(spark):
 
 
 def test_rounds():
-    assert [dedup.rounds_for(n) for n in (1, 16, 17, 256, 257, 4096)] == [1, 1, 2, 2, 3, 3]
+    assert [dedup.rounds_for(n, 16) for n in (1, 16, 17, 256, 257, 4096)] == [1, 1, 2, 2, 3, 3]
+    assert [dedup.rounds_for(n) for n in (1, 2, 3, 16, 17)] == [1, 1, 2, 4, 5]

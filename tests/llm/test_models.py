@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from waymark.llm import langid, quality, toxicity, trees
+from waymark.llm import base, langid, quality, toxicity, trees
 
 SF = "/root/testdata/sf0.01"
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -130,3 +130,51 @@ def test_quality_accuracy(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     got = quality.predictions(docs, labels).join(labels, "doc_id").where("held_out").collect()
     assert np.mean([r.predicted == r.quality for r in got]) > 0.95
+
+
+def test_labels_that_are_neither_0_nor_1_are_ignored(spark):
+    """Odd labels, no labels and no documents: training falls back, and every row still has a score."""
+    rows = [(k, f"text number {k} of {'fools' if k % 4 == 0 else 'friends'}\nand a line") for k in range(60)] + [(None, None), (61, ""), (62, "long line " * 9000), (5, "text again")]
+    docs = spark.createDataFrame([(*r, 1, 0.5, 2) for r in rows], "doc_id long, text string, label int, score double, toxic int")
+    labels = spark.createDataFrame([(k, [0, 1, 2, None, -1][k % 5], [0, 1, 7, None, -1][k % 5]) for k in range(60)], "doc_id long, quality int, toxic int")
+    for operator, column in ((toxicity, "toxic"), (quality, "quality")):
+        found = base.labelled(docs, labels, column, {"1": 50, "0": 50}, 1000)
+        assert {r[2] for r in found} <= {0, 1} and len(found) > 10 and max(len(r[1]) for r in found) <= 1000
+        for some in (labels, labels.limit(0), labels.where("toxic = 7")):
+            got = operator.predictions(docs, some).collect()
+            assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+        assert operator.predictions(docs.limit(0), labels).count() == 0
+
+
+def test_long_training_texts_give_a_part(spark):
+    docs = spark.createDataFrame([(3, "abcdefghij" * 500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(3, 1)], "doc_id long, toxic int")
+    (_, part, label), = base.labelled(docs, labels, "toxic", {"1": 5, "0": 5}, 100)
+    assert len(part) == 100 and part in "abcdefghij" * 500 and label == 1
+
+
+def test_documents_equal_a_plain_forward_pass():
+    """Byte by byte, in plain Python, both ways, pooled over the document."""
+    net = {k: v.astype(float) for k, v in langid.initial(3, hidden=3).items()}
+    logistic = lambda x: 1 / (1 + np.exp(-x))
+
+    def states(d, raw):
+        h, out = np.zeros(3), []
+        for b in raw:
+            r = logistic(net[f"{d}.xr"][b] + h @ net[f"{d}.ur"])
+            z = logistic(net[f"{d}.xz"][b] + h @ net[f"{d}.uz"])
+            n = np.tanh(net[f"{d}.xn"][b] + r * (h @ net[f"{d}.un"]))
+            h = z * h + (1 - z) * n
+            out.append(h)
+        return out
+
+    texts = ["ein kurzer Text", "é", "x" * (langid.WINDOW + 37), "", None]
+    got = langid.document_probabilities({k: v.astype(np.float32) for k, v in net.items()}, texts)
+    for t, p in zip(texts, got, strict=True):
+        raw, want = (t or "").encode(), np.zeros(3)
+        for at in range(0, len(raw), langid.WINDOW):
+            part = raw[at : at + langid.WINDOW]
+            for f, b in zip(states("f", part), states("b", part[::-1])[::-1], strict=True):
+                e = np.exp(np.concatenate([f, b]) @ net["o"] + net["c"])
+                want += e / e.sum()
+        assert np.allclose(p, want / max(1, len(raw)), atol=1e-5)

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from waymark.session import checkpoint
 
-#: Runs merged into one in a round.
-FAN = 16
+#: Runs merged into one in a round: two, so that partitions meet in binomial rounds.
+FAN = 2
 KEY = ["__digest", "__bytes", "__check"]
 
 
