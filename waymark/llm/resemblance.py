@@ -179,11 +179,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sig = checkpoint(signatures(docs, id_col, text_col))
     near = linked(sig.select("doc_id", "fp")).where("doc_id <> component_id")
     rows = sig.select("doc_id", "n", F.posexplode("keys").alias("band", "key"))
-    order = F.xxhash64(F.col("band") % ORDERS, "doc_id")
-    first = F.min(F.struct(order, F.col("doc_id").alias("rep"), F.col("n").alias("rep_n"))).alias("first")
-    buckets = rows.groupBy("key").agg(first, F.count(F.lit(1)).alias("held")).where("held > 1")
-    shared = checkpoint(rows.join(buckets, "key").select("key", "doc_id", "n", "first.rep", "first.rep_n"))
+    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    met = checkpoint(rows.join(buckets, "key").select("key", "doc_id", "n", "held", F.xxhash64(F.col("band") % ORDERS, "doc_id").alias("order")))
+    # The text that meets most others in its buckets is the middle of its group.
+    middle = met.groupBy("doc_id").agg(F.sum("held").alias("meets"))
+    own = F.struct(F.col("doc_id").alias("rep"), F.col("n").alias("rep_n"))
+    reps = met.join(middle, "doc_id").groupBy("key").agg(F.max_by(own, F.struct("meets", "doc_id")).alias("first"), F.min_by(own, F.struct("order", "doc_id")).alias("second"))
+    shared = checkpoint(met.join(reps, "key").select("key", "doc_id", "n", F.explode(F.array_distinct(F.array("first", "second"))).alias("r")).select("key", "doc_id", "n", "r.rep", "r.rep_n"))
     pairs = checkpoint(_pairs(shared.where(_sized("n", "rep_n")).select("doc_id", "rep").union(near.select("doc_id", "component_id")), "doc_id", "rep"))
+    shared = met
     used = shared.select("doc_id").union(pairs.select("u")).union(pairs.select("v")).distinct()
     held = checkpoint(texts(docs, id_col, text_col).join(used, "doc_id", "left_semi"))
     found = verified(held, pairs)
