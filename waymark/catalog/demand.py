@@ -101,9 +101,7 @@ def visit_share(spark, sf_dir):
     s = steps(spark, sf_dir)
     ranked = junctions.ranking(junctions.scored(s)).select("id", "rank")
     visits = s.where("pos > 0").join(ranked, "id").groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
-    # One row per vertex remains, as in the ranking itself.
-    total = Window.orderBy("rank")
-    return visits.select("rank", F.round(F.sum("n").over(total) / F.sum("n").over(Window.partitionBy()), 9).alias("share"))
+    return junctions.cumulated_share(visits, "rank", "n", "share").select("rank", F.round("share", 9).alias("share"))
 
 
 @query("SELECT event_id, CAST(row_number() OVER (ORDER BY ts, event_id) - 1 AS BIGINT) AS query FROM events")

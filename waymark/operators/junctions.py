@@ -72,6 +72,23 @@ def dense_index(df: DataFrame, order: list[Column], name: str, start: int = 1) -
     return dealt.withColumn(name, (offset + own).cast("long")).drop("__part")
 
 
+def cumulated_share(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """``df`` with the share of the total of ``value`` in the rows up to each by ``order``, which is distinct.
+
+    As in ``dense_index``, a task sums its range and adds the sums of the ranges before.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = checkpoint(df.repartitionByRange(parts, order).withColumn("__part", F.spark_partition_id()))
+    sums = {r[0]: r[1] for r in dealt.groupBy("__part").agg(F.sum(value)).collect()}
+    base, total = {}, 0
+    for part in sorted(sums):
+        base[part] = total
+        total += sums[part] or 0
+    offset = F.create_map(*[F.lit(x) for pair in base.items() for x in pair])[F.col("__part")] if base else F.lit(0)
+    own = F.sum(value).over(Window.partitionBy("__part").orderBy(order))
+    return dealt.withColumn(name, (offset + own) / F.lit(total)).drop("__part")
+
+
 def ranking(scores: DataFrame, kind: str = "sum") -> DataFrame:
     """``scores`` with ``rank`` from 1."""
     return dense_index(scores, order_of(kind), "rank")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from waymark.functions import vec
 from waymark.session import ship
 
-from .knn import matrix, scores
+from .knn import matrix, scores, slack
 
 #: Centres that are sent to the tasks at most; a directory has 512.
 MOST_CENTRES = 65_536
@@ -47,7 +47,7 @@ def assign(points: DataFrame, centres: DataFrame, metric: str = "ip") -> DataFra
                 x = matrix(batch.column(1))
                 # Equal centres must tie exactly, so the few near-best are scored in element order.
                 s = scores(x, c, metric)
-                near = s >= s.max(axis=1, keepdims=True) - 1e-9
+                near = s >= s.max(axis=1, keepdims=True) - slack(x, c)
                 i, j = np.nonzero(near)
                 terms = x[i] * c[j] if metric == "ip" else -((x[i] - c[j]) ** 2)
                 exact = np.zeros(len(i))

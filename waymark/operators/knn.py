@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.session import ship
+from waymark.session import checkpoint, ship
 
 #: Bytes of query vectors that a pass over the base may carry to its tasks.
 BLOCK_BYTES = 32 << 20
@@ -29,26 +29,36 @@ def scores(q: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return -((q * q).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (q @ b.T))
 
 
-def _best(ids: np.ndarray, s: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k best of each row, all ties of the last included."""
+def slack(q: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How far apart, at most, rounding can put two equal ``scores`` of each row of ``q``: it grows with the norms."""
+    largest = (b * b).sum(1).max(initial=0.0)
+    return 8 * np.finfo(np.float64).eps * max(1, q.shape[1]) * ((q * q).sum(1)[:, None] + largest) + 1e-12
+
+
+def _best(s: np.ndarray, k: int, margin: np.ndarray) -> np.ndarray:
+    """Columns of the k best of each row, with all that rounding may have put behind the last."""
     if s.shape[1] <= k:
         return np.ones(s.shape, bool)
     last = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
-    return s >= last - 1e-9
+    return s >= last - margin
 
 
 def nearest(queries: DataFrame, base: DataFrame, k: int, metric: str = "ip", id_col: str = "id", vec_col: str = "vec", block_bytes: int = BLOCK_BYTES, exclude_self: bool = True) -> DataFrame:
     """``(query, rank, id, score)``: the k nearest base rows of every query, ties by id.
 
     Queries are taken in blocks of at most ``block_bytes``, whose vectors go to the tasks of one
-    pass over the base; the number of blocks comes from a count, so what is sent is bounded at any
-    size. Each task keeps its k best for each query, the rest is a partial top-k by window.
+    pass over the base; the number of blocks comes from a count. With several blocks each pass is
+    written out and its vectors are freed before the next, so that what the driver and the tasks hold
+    is bounded at any size. Each task keeps its k best for each query, the rest is a partial top-k by
+    window. Null vectors, and those of another length than the longest query's, have no neighbours and
+    are none.
     """
     spark = ship(queries.sparkSession)
     q = queries.select(queries[id_col].cast("long").alias("id"), queries[vec_col].alias("vec"))
     b = base.select(base[id_col].cast("long").alias("id"), base[vec_col].alias("vec"))
     stats = q.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
     n, dim = stats[0], stats[1] or 1
+    q, b = (x.where(F.size("vec") == dim) for x in (q, b))
     blocks = max(1, -(-n * dim * 16 // block_bytes))
     passes = []
     for block in range(blocks):
@@ -68,7 +78,7 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, metric: str = "ip", id_
                     s = scores(qv[at : at + 512], vecs, metric)
                     if exclude_self:
                         s[qid[at : at + 512, None] == ids[None, :]] = -np.inf
-                    i, j = np.nonzero(_best(ids, s, k) & np.isfinite(s))
+                    i, j = np.nonzero(_best(s, k, slack(qv[at : at + 512], vecs)) & np.isfinite(s))
                     # Exact scores in element order, whatever the matrix product rounded.
                     a, c = qv[at + i], vecs[j]
                     terms = a * c if metric == "ip" else (a - c) ** 2
@@ -77,7 +87,11 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, metric: str = "ip", id_
                         exact += terms[:, d]
                     yield pa.RecordBatch.from_arrays([pa.array(qid[at + i]), pa.array(ids[j]), pa.array(exact)], ["query", "id", "score"])
 
-        passes.append(b.mapInArrow(part, "query long, id long, score double"))
+        found = b.mapInArrow(part, "query long, id long, score double")
+        if blocks > 1:
+            found = checkpoint(found)
+            sent.destroy()
+        passes.append(found)
     if not passes:
         return spark.createDataFrame([], "query long, rank long, id long, score double")
     found = passes[0]

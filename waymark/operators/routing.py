@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import vec
+from waymark.operators.junctions import dense_index
 from waymark.operators.kmeans import small
 
 
@@ -115,8 +116,9 @@ def gate_threshold(warmup: DataFrame, column: str, keep: int = 50) -> DataFrame:
     n/2, 25: index 3n/4). It is an element of the data, never interpolated."""
     at = {50: (1, 2), 25: (3, 4)}[keep]
     n = warmup.count()
-    ranked = warmup.select(column).orderBy(column).limit(n * at[0] // at[1] + 1)
-    return ranked.agg(F.max(column).alias("threshold"))
+    # No task holds more than its range of the order.
+    ranked = dense_index(warmup.select(F.col(column).alias("value")), [F.asc("value")], "at", 0)
+    return ranked.where(F.col("at") == n * at[0] // at[1]).agg(F.max("value").alias("threshold"))
 
 
 def native_rank(d: Column, native: Column) -> Column:
