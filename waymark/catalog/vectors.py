@@ -6,11 +6,11 @@ Searches take every vector whose id is divisible by 20 as a query, against all v
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions import vec
-from waymark.operators import junctions, kmeans, knn, pq, routing, search
+from waymark.operators import history, junctions, kmeans, knn, pq, routing, search
 from waymark.plans import studies
 from waymark.session import checkpoint
 
@@ -182,12 +182,16 @@ def recent_starts(spark, sf_dir):
     medoids, members = directory(p)
     junction = routing.winner(q, routing.probe(q, medoids, 3), members)
     top = checkpoint(knn.nearest(as_points(q), p, 1).select("query", "id"))
-    # A destination's rows become visibility intervals (its next use ends one), so that a query
-    # meets each id once; the last 16 are then a limit for each query.
-    turn = Window.partitionBy("id").orderBy("query")
-    spans = top.select("id", F.col("query").alias("since"), F.lead("query").over(turn).alias("until"))
-    seen = spans.join(q.select("query", F.col("vec").alias("q")), (F.col("since") < F.col("query")) & (F.col("until").isNull() | (F.col("until") >= F.col("query"))))
-    held = knn.top_by(seen, "query", [F.desc("since")], 16)
+    # One pass in the order of the queries, over ids alone; a query sees the state before its own turn.
+    events = top.select(F.lit("all").alias("stream"), F.col("query").alias("seq"), "id")
+
+    def step(held, row):
+        before = list(held.held)
+        held.push(row[2])
+        return row[0], row[1], before
+
+    seen = history.fold(events, lambda: history.Lru(16), step, "stream string, seq long, ids array<long>", ["stream", "seq", "id"])
+    held = seen.select(F.col("seq").alias("query"), F.explode("ids").alias("id")).join(q.select("query", F.col("vec").alias("q")), "query")
     scored = held.join(p.select("id", "vec"), "id").select("query", "id", routing.distance(F.col("q"), F.col("vec")).alias("d"))
     return routing.recent_starts(scored, junction, 8)
 
