@@ -64,6 +64,81 @@ def test_payloads_come_back(text):
     assert webp.decode_payload(webp.encode_payload(raw, n)).tobytes() == raw
 
 
+def plain_greens(bits, codes, total, width):
+    """Code by code, without tables."""
+    green, red, blue, alpha, far = codes
+    out = []
+    while len(out) < total:
+        symbol = green.read(bits)
+        if bits.at > bits.end:
+            raise ValueError
+        if symbol < 256:
+            out.append(alpha.single << 24 | red.single << 16 | symbol << 8 | blue.single)
+        else:
+            n = webp._prefixed(bits, symbol - 256)
+            d = webp._true_distance(webp._prefixed(bits, far.read(bits)), width)
+            for _ in range(n):
+                out.append(out[-d])
+    return np.array(out, np.uint32)
+
+
+def many_kinds():
+    """Payloads that take back-references, each predictor, bundles, and all 256 values with copies."""
+    rng = np.random.default_rng(5)
+    noise = rng.integers(0, 256, 576 * 3, dtype=np.uint8)
+    line = bytes(rng.integers(32, 250, 200, dtype=np.uint8)).replace(b"\n", b"_")
+    skewed = bytes(np.minimum(rng.geometric(0.3, 576 * 4), 200).astype(np.uint8))
+    return {
+        "ramp": bytes(np.cumsum(rng.integers(0, 3, 576 * 4)).astype(np.uint8)),
+        "columns": bytes((np.tile(rng.permutation(576) % 251, (9, 1)) + rng.integers(0, 2, (9, 576))).astype(np.uint8)),
+        "skewed": skewed,
+        "lines": b"\n".join([line, skewed[:150], line, bytes(set(range(256)) - {10}), line]).ljust(576 * 3, b"\xff"),
+        "noise": bytes(noise),
+        "two": bytes(rng.integers(0, 2, 576 * 2, dtype=np.uint8)),
+        "nine": bytes(rng.integers(0, 9, 576 * 2, dtype=np.uint8)),
+        "one": b"\0" * 576,
+    }
+
+
+@pytest.mark.parametrize("kind", many_kinds())
+@pytest.mark.parametrize("stretch", [8, 100, 1 << 14])
+def test_tables_equal_reading_code_by_code(kind, stretch, monkeypatch):
+    raw = many_kinds()[kind]
+    data = webp.encode_payload(raw)
+    monkeypatch.setattr(webp, "STRETCH", stretch)
+    assert webp.decode_payload(data).tobytes() == raw
+    monkeypatch.setattr(webp, "_read_greens", plain_greens)
+    assert webp.decode_payload(data).tobytes() == raw
+
+
+def test_predictors_are_chosen_by_cost(monkeypatch):
+    chosen = {}
+    real = webp._cheapest
+    for kind, raw in many_kinds().items():
+        monkeypatch.setattr(webp, "_cheapest", lambda index, kind=kind: chosen.setdefault(kind, real(index)))
+        webp.encode_payload(raw)
+    assert chosen["ramp"][0] == 1 and chosen["columns"][0] == 2 and chosen["skewed"][0] is None and chosen["noise"][0] is None
+
+
+def test_codes_have_many_lengths(monkeypatch):
+    seen = []
+    monkeypatch.setattr(webp, "write_code", lambda sink, lengths, real=webp.write_code: seen.append(lengths) or real(sink, lengths))
+    raw, n = media.payload("a text whose letters are more and less frequent, as in any prose " * 20 + "qxz")
+    webp.encode_payload(raw, n)
+    assert len(set(seen[-5].values())) > 3
+
+
+def test_damaged_payloads_fail_or_differ():
+    raw = many_kinds()["skewed"]
+    data = webp.encode_payload(raw)
+    short = data[: len(data) // 2]
+    with pytest.raises(ValueError):
+        webp.decode(short)
+    body = short[:16] + (len(short) - 20).to_bytes(4, "little") + short[20:]
+    with pytest.raises(ValueError):
+        webp.decode(body)
+
+
 def test_large_payloads_are_several_files(monkeypatch):
     monkeypatch.setattr(webp, "ROWS", 4)
     raw = bytes(np.random.default_rng(0).integers(97, 120, 576 * 11, dtype=np.uint8))

@@ -1,15 +1,16 @@
 """Lossless WebP (VP8L, RFC 9649): a decoder of the whole format, and an encoder.
 
 ``decode`` reads any lossless file: prefix codes in groups, back-references, the colour cache, and
-the predictor, cross-colour, subtract-green and palette transforms. Runs of literals whose codes
-have one length are decoded as arrays; everything else goes symbol by symbol. ``encode`` writes
-pixel arrays with any of those tools; ``encode_payload`` writes bytes as palette images whose index
-codes have one length, with back-references for long repeats and for padding.
+the predictor, cross-colour, subtract-green and palette transforms. Images in which only green has
+a code with bits are decoded by tables: the length of the code that would begin at every bit is
+looked up at once, and a walk over these lengths finds the codes. Others go symbol by symbol.
+``encode`` writes pixel arrays with any of those tools; ``encode_payload`` writes bytes as palette
+images with Huffman codes, back-references for repeats and for padding, and a predictor where its
+residuals cost less.
 """
 
 from __future__ import annotations
 
-import heapq
 import struct
 from collections import Counter
 from dataclasses import dataclass
@@ -21,6 +22,10 @@ import numpy as np
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 #: Repeat symbols of code lengths: fewest repeats and extra bits.
 REPEATS = {16: (3, 2), 17: (3, 3), 18: (11, 7)}
+#: Bytes of the stream that are looked up at once.
+STRETCH = 1 << 14
+#: Bits of the stream that the reading of a code's lengths holds as one number.
+AHEAD = 512
 LITERALS, LENGTHS, DISTANCES, MULTIPLIER = 256, 24, 40, 0x1E35A7BD
 BLACK = 0xFF000000
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
@@ -46,12 +51,16 @@ def _true_distance(code: int, width: int) -> int:
 class Bits:
     def __init__(self, data: bytes):
         self.data, self.at, self.end = data, 0, 8 * len(data)
-        self._array: np.ndarray | None = None
 
     def peek(self, n: int) -> int:
         byte = self.at >> 3
         return (int.from_bytes(self.data[byte : byte + 8], "little") >> (self.at & 7)) & ((1 << n) - 1)
 
+    def word(self) -> int:
+        """The next ``AHEAD`` bits, or more, as one number."""
+        byte = self.at >> 3
+        return int.from_bytes(self.data[byte : byte + AHEAD // 8 + 1], "little") >> (self.at & 7)
+
     def read(self, n: int) -> int:
         value = self.peek(n)
         self.at += n
@@ -59,10 +68,14 @@ class Bits:
             raise ValueError("the stream ends too early")
         return value
 
-    def array(self) -> np.ndarray:
-        if self._array is None:
-            self._array = np.unpackbits(np.frombuffer(self.data, np.uint8), bitorder="little")
-        return self._array
+
+@cache
+def _reversed(n: int) -> np.ndarray:
+    """The numbers below ``1 << n`` with their bits in the opposite order."""
+    out = np.zeros(1, np.int64)
+    for _ in range(n):
+        out = np.concatenate([out * 2, out * 2 + 1])
+    return out
 
 
 class Code:
@@ -75,7 +88,7 @@ class Code:
         self.single = used[0][1] if len(used) == 1 else None
         self.first: list[tuple[int, int, int]] = []
         self.symbols = [s for _, s in used]
-        self.uniform = used[0][0] if self.single is None and used[0][0] == used[-1][0] else 0
+        self.lengths = [n for n, _ in used]
         if self.single is None:
             code = index = 0
             for n in range(1, 16):
@@ -85,7 +98,16 @@ class Code:
                 code = (code + count) << 1
             if code != 1 << 16:
                 raise ValueError("a prefix code that is not complete")
-        self.table = np.array(self.symbols, np.int64)
+        self._tables: tuple[np.ndarray, np.ndarray] | None = None
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """Symbol and code length for every next ``self.lengths[-1]`` bits of the stream."""
+        if self._tables is None:
+            most = self.lengths[-1]
+            each = 1 << (most - np.array(self.lengths))
+            order = _reversed(most)
+            self._tables = np.repeat(np.array(self.symbols, np.int64), each)[order], np.repeat(np.array(self.lengths, np.uint8), each)[order]
+        return self._tables
 
     def read(self, bits: Bits) -> int:
         if self.single is not None:
@@ -99,7 +121,7 @@ class Code:
         raise ValueError("no such prefix code")
 
 
-@lru_cache(4096)
+@lru_cache(256)
 def _code(lengths: tuple[tuple[int, int], ...]) -> Code:
     return Code(dict(lengths))
 
@@ -109,26 +131,38 @@ def _read_code(bits: Bits, size: int) -> Code:
         two, wide = bits.read(1), bits.read(1)
         symbols = [bits.read(8 if wide else 1)] + ([bits.read(8)] if two else [])
         return _code(tuple((s, 1) for s in symbols))
-    own = {LENGTH_ORDER[k]: bits.read(3) for k in range(4 + bits.read(4))}
+    count = 4 + bits.read(4)
+    own = {LENGTH_ORDER[k]: bits.read(3) for k in range(count)}
     code = Code(own)
     most = size if not bits.read(1) else 2 + bits.read(2 + 2 * bits.read(3))
+    symbols, widths = ([code.single], [0]) if code.single is not None else (t.tolist() for t in code.tables())
+    mask, word, used = len(symbols) - 1, bits.word(), 0
     lengths: dict[int, int] = {}
     at, before = 0, 8
     while at < size and most:
         most -= 1
-        s = code.read(bits)
+        if used > AHEAD - 16:
+            bits.at += used
+            word, used = bits.word(), 0
+        w = word >> used & mask
+        s = symbols[w]
+        used += widths[w]
         if s < 16:
             lengths[at] = s
             before = s or before
             at += 1
         else:
             least, extra = REPEATS[s]
-            n = least + bits.read(extra)
+            n = least + (word >> used & (1 << extra) - 1)
+            used += extra
             if at + n > size:
                 raise ValueError("code lengths run over the alphabet")
             if s == 16:
                 lengths.update(dict.fromkeys(range(at, at + n), before))
             at += n
+    bits.at += used
+    if bits.at > bits.end:
+        raise ValueError("the stream ends too early")
     return _code(tuple(lengths.items()))
 
 
@@ -155,8 +189,8 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     total = width * height
     green, red, blue, alpha, _ = codes[0]
     flat = [c.single for c in (red, blue, alpha)]
-    if groups is None and not cache_bits and green.uniform and None not in flat:
-        return _read_runs(bits, codes[0], total, width).reshape(height, width)
+    if groups is None and not cache_bits and green.single is None and None not in flat:
+        return _read_greens(bits, codes[0], total, width).reshape(height, width)
     out = np.empty(total, np.uint32)
     store = [0] * (1 << cache_bits) if cache_bits else None
     stored = at = 0
@@ -193,36 +227,56 @@ def _copy(out: np.ndarray, at: int, d: int, n: int) -> None:
         out[at : at + n] = np.resize(out[at - d : at], n)
 
 
-def _read_runs(bits: Bits, codes: list[Code], total: int, width: int) -> np.ndarray:
-    """Pixels whose green code has one length and whose other codes take no bits, run by run."""
+def _read_greens(bits: Bits, codes: list[Code], total: int, width: int) -> np.ndarray:
+    """Pixels of which only green has a code with bits, by tables over stretches of the stream."""
     green, red, blue, alpha, far = codes
-    n = green.uniform
     base = np.uint32(alpha.single << 24 | red.single << 16 | blue.single)
-    array, out, at, step = bits.array(), np.empty(total, np.uint32), 0, 1 << 16
+    symbols, lengths = green.tables()
+    # A back-reference ends the walk; it is read by itself.
+    steps = np.where(symbols < LITERALS, lengths, 0).astype(np.uint8)
+    mask = np.uint32(len(symbols) - 1)
+    out, at = np.empty(total, np.uint32), 0
     while at < total:
-        m = min(step, total - at, (bits.end - bits.at) // n)
-        if m <= 0:
+        first = bits.at >> 3
+        raw = np.frombuffer(bits.data[first : first + STRETCH + 2].ljust(STRETCH + 2 if len(bits.data) - first > STRETCH else len(bits.data) - first + 2, b"\0"), np.uint8).astype(np.uint32)
+        word = raw[:-2] | raw[1:-1] << np.uint32(8) | raw[2:] << np.uint32(16)
+        window = (word[:, None] >> np.arange(8, dtype=np.uint32) & mask).ravel()
+        n = len(window)
+        # How far one code, two codes and four codes lead from every bit.
+        one = np.zeros(n + 64, np.uint8)
+        one[:n] = steps[window]
+        places = np.arange(n + 64)
+        two = one + one[np.minimum(places + one, n)]
+        jumps = (two + two[np.minimum(places + two, n)]).tobytes()
+        p = bits.at - 8 * first
+        if n <= p:
             raise ValueError("the stream ends too early")
-        window = array[bits.at : bits.at + m * n].reshape(m, n)
-        if n <= 8:
-            wide = np.zeros((m, 8), np.uint8)
-            wide[:, 8 - n :] = window
-            value = np.packbits(wide, axis=1).ravel()
-        else:
-            value = window.astype(np.int64) @ (1 << np.arange(n)[::-1])
-        symbols = green.table[value]
-        other = symbols >= LITERALS
-        k = int(other.argmax()) if other.any() else m
-        out[at : at + k] = base | symbols[:k].astype(np.uint32) << np.uint32(8)
-        at += k
-        bits.at += k * n
-        if k < m:
-            length = _prefixed(bits, green.read(bits) - LITERALS)
-            _copy(out, at, _true_distance(_prefixed(bits, far.read(bits)), width), length)
-            at += length
-            step = max(256, step >> 1)
-        else:
-            step = min(1 << 16, step << 2)
+        while p < n and at < total:
+            walk = []
+            while p < n and (s := jumps[p]):
+                walk.append(p)
+                p += s
+            if walk:
+                found = np.empty((len(walk), 4), np.int64)
+                found[:, 0] = walk
+                found[:, 1] = found[:, 0] + one[found[:, 0]]
+                found[:, 2] = found[:, 0] + two[found[:, 0]]
+                found[:, 3] = found[:, 2] + one[found[:, 2]]
+                tokens = found.ravel()
+                # Codes that begin behind the stretch belong to the next one.
+                k = min(int(np.searchsorted(tokens, min(p, n))), total - at)
+                tokens = tokens[:k]
+                out[at : at + k] = base | symbols[window[tokens]].astype(np.uint32) << np.uint32(8)
+                at += k
+                p = int(tokens[-1]) + int(one[tokens[-1]])
+            bits.at = 8 * first + p
+            if bits.at > bits.end:
+                raise ValueError("the stream ends too early")
+            if p < n and at < total:
+                length = _prefixed(bits, green.read(bits) - LITERALS)
+                _copy(out, at, _true_distance(_prefixed(bits, far.read(bits)), width), length)
+                at += length
+                p = bits.at - 8 * first
     return out
 
 
@@ -291,6 +345,9 @@ def _predictions(image: np.ndarray, y: int, modes: np.ndarray, inverse: bool, re
             out[x:end] = _predict(mode, image[y, x - 1 : end - 1], above[x:end], beside, above[x - 1 : end - 1])
             if inverse:
                 image[y, x:end] = (residual[x:end] + out[x:end]) & 255
+        elif mode == 1:
+            image[y, x:end] = (np.cumsum(residual[x:end], axis=0) + image[y, x - 1]) & 255
+            out[x:end] = image[y, x - 1 : end - 1]
         else:
             for i in range(x, end):
                 put(i, _predict(mode, image[y, i - 1], above[i], above[i + 1] if i + 1 < width else image[y, 0], above[i - 1]))
@@ -426,21 +483,31 @@ def code_lengths(counts: Counter, most: int = 15) -> dict[int, int]:
     if len(used) < 2:
         return dict.fromkeys(used or [0], 1)
     while True:
-        heap = [(c, s, (s,)) for s, c in used.items()]
-        heapq.heapify(heap)
-        lengths = dict.fromkeys(used, 0)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for s in a[2] + b[2]:
-                lengths[s] += 1
-            heapq.heappush(heap, (a[0] + b[0], min(a[1], b[1]), a[2] + b[2]))
-        if max(lengths.values()) <= most:
-            return lengths
+        order = sorted(used, key=lambda s: (used[s], s))
+        weight, n = [used[s] for s in order], len(order)
+        parent = [0] * (2 * n - 1)
+        leaf, inner = 0, n
+        for k in range(n, 2 * n - 1):
+            weight.append(0)
+            for _ in range(2):
+                if leaf < n and (inner == k or weight[leaf] <= weight[inner]):
+                    pick, leaf = leaf, leaf + 1
+                else:
+                    pick, inner = inner, inner + 1
+                weight[k] += weight[pick]
+                parent[pick] = k
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[parent[k]] + 1
+        if max(depth) <= most:
+            return dict(zip(order, depth, strict=False))
         used = {s: (c >> 1) + 1 for s, c in used.items()}
 
 
 def canonical(lengths: dict[int, int]) -> dict[int, tuple[int, int]]:
     """Symbol -> (code as it lies in the stream, length)."""
+    if len(lengths) == 1:
+        return dict.fromkeys(lengths, (0, 0))
     out, code, before = {}, 0, 0
     used = sorted((n, s) for s, n in lengths.items() if n)
     if len(used) == 1:
@@ -668,14 +735,6 @@ ROW, ROWS = 576, 1 << 14
 LEAST = 48
 
 
-def _uniform(symbols: list[int], size: int) -> dict[int, int]:
-    """One length for ``symbols`` and as many others as fill the code."""
-    bits = max(1, (len(symbols) - 1).bit_length())
-    own = set(symbols)
-    spare = (s for s in range(size) if s not in own)
-    return dict.fromkeys([*symbols, *(next(spare) for _ in range((1 << bits) - len(symbols)))], bits)
-
-
 def repeats(payload: bytes, size: int) -> list[tuple[int, int, int]]:
     """(place, length, distance) of lines that occurred before, and of one value repeated after ``size``."""
     found, seen, at = [], {}, 0
@@ -693,9 +752,12 @@ def repeats(payload: bytes, size: int) -> list[tuple[int, int, int]]:
     return found
 
 
-def _write_greens(sink: Sink, values: np.ndarray) -> None:
-    """A palette of opaque greens: only green has a code with bits, and alpha its first 255."""
-    steps = np.diff(values, prepend=0).tolist()
+@lru_cache(1024)
+def _palette(colours: bytes) -> np.ndarray:
+    """The bits of a palette of opaque greens: only green has a code with bits, and alpha its first 255."""
+    sink = Sink()
+    steps = [b - a for a, b in zip(b"\0" + colours, colours, strict=False)]
+    sink.put(1 | PALETTE << 1 | len(colours) - 1 << 3, 11)
     sink.put(0, 1)
     green = write_code(sink, code_lengths(Counter(steps)))
     write_code(sink, {0: 1})
@@ -705,63 +767,108 @@ def _write_greens(sink: Sink, values: np.ndarray) -> None:
     for k, step in enumerate(steps):
         sink.put(*green[step])
         sink.put(*alpha[0 if k else 255])
+    sink._spill()
+    return np.concatenate(sink.parts)
 
 
-@lru_cache(4096)
-def _index_code(colours: int, lengths: tuple[int, ...]) -> tuple[np.ndarray, dict[int, tuple[int, int]], int, np.ndarray]:
-    """The bits that write the index code, the code, its length, and the ranks of the indices."""
-    green = _uniform([*range(colours), *lengths], LITERALS)
-    sink = Sink()
-    code = write_code(sink, green)
-    for _ in range(3):
-        write_code(sink, {0: 1})
-    sink._spill()
-    order = {s: k for k, s in enumerate(sorted(green))}
-    return np.concatenate(sink.parts), code, green[0], np.array([order[k] for k in range(colours)], np.uint8)
+def _constant_runs(flat: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place, length, 1) of one value repeated, behind its first occurrence."""
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(flat)) + 1, [len(flat)]])
+    found = []
+    for k in np.flatnonzero(np.diff(edges) > LEAST).tolist():
+        start, end = int(edges[k]) + 1, int(edges[k + 1])
+        found += [(at, min(4096, end - at), 1) for at in range(start, end, 4096)]
+    return found
+
+
+def _entropy(values: np.ndarray) -> float:
+    """Bits that an ideal code by frequency takes for all ``values``."""
+    counts = np.bincount(values, minlength=256)
+    counts = counts[counts > 0]
+    return float(counts @ np.log2(len(values) / counts))
+
+
+def _cheapest(index: np.ndarray) -> tuple[int | None, np.ndarray]:
+    """The predictor mode (None, 1: left, 2: top) whose residuals cost least, and the residuals."""
+    left = index.copy()
+    left[:, 1:] -= index[:, :-1]
+    left[1:, 0] -= index[:-1, 0]
+    top = index.copy()
+    top[1:] -= index[:-1]
+    top[0] = left[0]
+    # A predictor has to pay for its header and for the back-references that it spoils.
+    choices = [(_entropy(index.ravel()), 0, None, index), (_entropy(left.ravel()) * 1.05 + 64, 1, 1, left), (_entropy(top.ravel()) * 1.05 + 64, 2, 2, top)]
+    return min(choices, key=lambda c: c[:2])[2:]
 
 
 def encode_payload(payload: bytes, size: int | None = None) -> bytes:
     """Bytes (a positive multiple of ``ROW``) as palette images; ``size`` of them precede padding.
 
-    Each sample is one pixel. Payloads over ``ROW * ROWS`` bytes become several files in a row.
+    Each sample is one pixel; samples of up to 16 values are bundled, 2, 4 or 8 a pixel. Pixels get
+    Huffman codes, a spatial predictor where its residuals cost less, and back-references for lines
+    that occurred before and for runs of one value. Red and blue are constant, so cross-colour has
+    nothing to do, and a colour cache could only split one symbol in two, which never takes fewer
+    bits. Payloads over ``ROW * ROWS`` bytes become several files in a row.
     """
     most = ROW * ROWS
     if len(payload) > most:
         return b"".join(encode_payload(payload[at : at + most], None if size is None else min(max(size - at, 0), len(payload[at : at + most]))) for at in range(0, len(payload), most))
     raw = np.frombuffer(payload, np.uint8)
-    sink = _head(ROW, len(raw) // ROW)
+    height = len(raw) // ROW
+    sink = _head(ROW, height)
     used = np.flatnonzero(np.bincount(raw, minlength=256))
-    if len(used) < 17:  # so that indices are not bundled
-        used = np.sort(np.concatenate([used, np.setdiff1d(np.arange(256), used)[: 17 - len(used)]]))
-    sink.put(1 | PALETTE << 1 | len(used) - 1 << 3, 11)
-    _write_greens(sink, used)
-    copies = [(at, n, d, _prefix(n), _prefix(d + 120)) for at, n, d in repeats(payload, len(payload) if size is None else size)]
-    lengths = sorted({LITERALS + p[0] for *_, p, _ in copies})
-    if len(used) + len(lengths) > 256:
-        copies, lengths = [], []
-    far = _uniform(sorted({q[0] for *_, q in copies}), DISTANCES) if copies else {0: 1}
-    if len({q[0] for *_, q in copies}) == 1:
-        far = {copies[0][4][0]: 1}
-    sink.put(0, 3)  # no more transforms, no colour cache, one group
-    written, code, bits, ranks = _index_code(len(used), tuple(lengths))
-    sink.bits(written)
-    far_code = write_code(sink, far)
+    sink.bits(_palette(used.astype(np.uint8).tobytes()))
     rank = np.zeros(256, np.uint8)
-    rank[used] = ranks
+    rank[used] = np.arange(len(used))
+    index = rank[raw].reshape(height, ROW)
+    shift = _bundle(len(used))
+    if shift:
+        each = 8 >> shift
+        index = (index.reshape(height, -1, 1 << shift) << (np.arange(1 << shift) * each).astype(np.uint8)).sum(axis=2, dtype=np.uint8)
+    mode, flat = _cheapest(index)
+    flat = flat.ravel()
+    found = _constant_runs(flat) if shift or mode else repeats(payload, len(payload) if size is None else size)
+    alpha = 255
+    if mode:
+        sink.put(1 | PREDICTOR << 1 | 7 << 3, 6)
+        _write_image(sink, np.full((height + 511 >> 9, index.shape[1] + 511 >> 9), BLACK | mode << 8, np.uint32), False)
+        alpha = 0  # the predicted alpha of every pixel is right
+    sink.put(0, 3)  # no more transforms, no colour cache, one group
+    copies = [(at, n, _prefix(n), _prefix(d + 120)) for at, n, d in found]
+    literal = np.ones(len(flat), bool)
+    for at, n, *_ in copies:
+        literal[at : at + n] = False
+    counts = Counter({s: c for s, c in enumerate(np.bincount(flat[literal]).tolist()) if c})
+    counts.update(LITERALS + p[0] for *_, p, _ in copies)
+    if len(counts) == 1:  # a code without bits would leave the reader nothing to walk
+        counts[1 - min(1, *counts)] += 1
+    lengths = code_lengths(counts, 12)
+    code = write_code(sink, lengths)
+    for s in (0, 0, alpha):
+        write_code(sink, {s: 1})
+    far_code = write_code(sink, code_lengths(Counter(q[0] for *_, q in copies)))
+    word, bits = np.zeros(256, np.uint16), np.zeros(256, np.int64)
+    for s, (value, n) in code.items():
+        if s < LITERALS:
+            word[s], bits[s] = value, n
 
     def literals(start: int, end: int) -> None:
-        if end > start:
-            sink.bits(np.unpackbits(rank[raw[start:end]][:, None], axis=1)[:, 8 - bits :].ravel())
+        for lo in range(start, end, 1 << 16):
+            part = flat[lo : min(end, lo + (1 << 16))]
+            n = bits[part]
+            ends = np.cumsum(n)
+            within = np.arange(ends[-1]) - np.repeat(ends - n, n)
+            sink.bits((np.repeat(word[part], n) >> within.astype(np.uint16) & 1).astype(np.uint8))
 
     at = 0
-    for place, n, _, (s, value, m), (t, more, k) in copies:
+    for place, n, (s, value, m), (t, more, k) in copies:
         literals(at, place)
         sink.put(*code[LITERALS + s])
         sink.put(value, m)
         sink.put(*far_code[t])
         sink.put(more, k)
         at = place + n
-    literals(at, len(raw))
+    literals(at, len(flat))
     return _wrap(sink.bytes())
 
 
