@@ -22,6 +22,18 @@ def test_core_stands_alone(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True)
 
 
+def test_a_missing_dependency_is_not_hidden(tmp_path):
+    """Only the absence of the corpus operators themselves is passed over."""
+    shutil.copytree(ROOT / "waymark", tmp_path / "waymark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    env = os.environ | {"PYTHONPATH": str(tmp_path)}
+    (tmp_path / "corpus_pipeline.py").write_text("import no_such_dependency\n")
+    got = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert got.returncode and "no_such_dependency" in got.stderr
+    (tmp_path / "corpus_pipeline.py").write_text("from waymark.llm import dedup\n")
+    subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, env=env, check=True)
+
+
 def test_nothing_imports_the_corpus_operators():
     for path in (ROOT / "waymark").rglob("*.py"):
         if "llm" not in path.parts:
