@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -31,14 +33,34 @@ def session(app: str = "waymark", master: str | None = None, partitions: int | N
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package when they start in another folder."""
-    env = spark.sparkContext.environment
-    paths = env.get("PYTHONPATH", "").split(os.pathsep)
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join(p for p in [ROOT, *paths] if p)
+    """Let Python workers import this package, wherever they start.
+
+    On one machine its folder goes on their path. A cluster's executors don't share that folder:
+    they get the package as one archive from the shared scratch space, and so do later ones.
+    """
+    sc = spark.sparkContext
+    if sc.master.split("[")[0] == "local":
+        paths = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
+        if ROOT not in paths:
+            sc.environment["PYTHONPATH"] = os.pathsep.join(p for p in [ROOT, *paths] if p)
+    elif not any(f.startswith("waymark-package-") for f in sc._python_includes):
+        path = sc._jvm.org.apache.hadoop.fs.Path(shared_dir(spark, "waymark-package") + ".zip")
+        sink = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+        sink.write(packed_source())
+        sink.close()
+        sc.addPyFile(path.toString())
     return spark
 
 
+def packed_source() -> bytes:
+    """This package's modules as a ZIP archive, the same bytes each time."""
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(Path(ROOT, "waymark").rglob("*.py")):
+            out.writestr(zipfile.ZipInfo(str(file.relative_to(ROOT))), file.read_bytes())
+    return held.getvalue()
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder URI under ``spark.checkpoint.dir``, the storage all executors share.
 
