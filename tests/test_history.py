@@ -81,14 +81,11 @@ def test_hash_matches_big_integers(spark, every):
 
     mask = (1 << 64) - 1
 
-    def slow(*words):
-        h = 0
-        for w in words:
-            h = ((h ^ (w & mask)) + GOLDEN) & mask
-            h = ((h ^ (h >> 30)) * FIRST) & mask
-            h = ((h ^ (h >> 27)) * SECOND) & mask
-            h ^= h >> 31
-        return h
+    def slow(hub, winner, sequence):
+        h = (((hub << 32) & mask) ^ (winner & mask)) ^ ((sequence * GOLDEN) & mask)
+        h = ((h ^ (h >> 30)) * FIRST) & mask
+        h = ((h ^ (h >> 27)) * SECOND) & mask
+        return h ^ (h >> 31)
 
     df = spark.createDataFrame([(i, i * i - 5, i * 10**15) for i in range(60)], "a long, b long, c long")
     got = df.select("a", "b", "c", accepts(F.col("a"), F.col("b"), F.col("c"), every).alias("ok")).collect()

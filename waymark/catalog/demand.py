@@ -236,14 +236,34 @@ def history_lifetimes(spark, sf_dir):
     return history.lifetimes(history.fifo_replay(streams(spark, sf_dir), CAPACITY))
 
 
-@query()
+def _wrapped(x: str, factor: int) -> str:
+    return f"CAST((CAST({x} AS UHUGEINT) * CAST({factor} AS UHUGEINT)) % CAST(18446744073709551616 AS UHUGEINT) AS UBIGINT)"
+
+
+DRAW = f"""{SEQ}, w0 AS (SELECT stream, seq, id, id % 11 AS hub, xor(xor(CAST(id % 11 AS UBIGINT) << 32, CAST(id AS UBIGINT)), {_wrapped("seq", hashing.GOLDEN)}) AS h FROM ev),
+w1 AS (SELECT * REPLACE ({_wrapped("xor(h, h >> 30)", hashing.FIRST)} AS h) FROM w0),
+w2 AS (SELECT * REPLACE ({_wrapped("xor(h, h >> 27)", hashing.SECOND)} AS h) FROM w1),
+drawn AS (SELECT stream, seq, id, hub, xor(h, h >> 31) % 2 = 0 AS accepted FROM w2)"""
+
+SLOTS = 10
+EXITS = f"""{DRAW}, turns AS (SELECT *, row_number() OVER (PARTITION BY stream, hub ORDER BY seq) AS turn FROM drawn),
+p(stream, hub, turn, seq, winner, page, outcome) AS (
+SELECT DISTINCT stream, hub, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS BIGINT[]), '' FROM drawn
+UNION ALL SELECT stream, hub, turn, seq, id, CASE WHEN outcome <> 'accepted' THEN page WHEN len(one) < {SLOTS} AND NOT list_contains(one, (id + 2) % 150) THEN list_append(one, (id + 2) % 150) ELSE one END, outcome
+FROM (SELECT *, CASE WHEN len(head) < {SLOTS} AND NOT list_contains(head, (id + 1) % 150) THEN list_append(head, (id + 1) % 150) ELSE head END AS one
+FROM (SELECT p.stream, p.hub, t.turn, t.seq, t.id, p.page, list_slice(list_prepend(t.id, p.page), 1, {SLOTS}) AS head,
+CASE WHEN list_contains(p.page, t.id) THEN 'duplicate' WHEN t.accepted THEN 'accepted' ELSE 'rejected' END AS outcome
+FROM p JOIN turns t ON t.stream = p.stream AND t.hub = p.hub AND t.turn = p.turn + 1)))"""
+
+
+@query(f"WITH RECURSIVE {EXITS} SELECT stream, seq, hub, winner, outcome, CAST(len(page) AS INTEGER) AS slots FROM p WHERE turn > 0")
 def exits_replay(spark, sf_dir):
     """Sampled exits of each hub; a hub is a user id modulo eleven."""
     s = streams(spark, sf_dir)
-    return history.exits_replay(s.select("stream", "seq", (F.col("id") % 11).alias("hub"), F.col("id").alias("winner"), F.array((F.col("id") + 1) % 150, (F.col("id") + 2) % 150).alias("ranked")), 10, 2)
+    return history.exits_replay(s.select("stream", "seq", (F.col("id") % 11).alias("hub"), F.col("id").alias("winner"), F.array((F.col("id") + 1) % 150, (F.col("id") + 2) % 150).alias("ranked")), SLOTS, 2)
 
 
-@query()
+@query(f"WITH {DRAW} SELECT stream, seq, accepted FROM drawn")
 def sampled_writes(spark, sf_dir):
     """Which events a Bernoulli draw of one half accepts, by hash."""
     s = streams(spark, sf_dir)

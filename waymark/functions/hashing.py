@@ -7,20 +7,21 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed values of the mix: an additive constant per input and two finalising multipliers.
+#: Fixed values of the mix: the multiplier of the sequence and two finalising ones.
 GOLDEN, FIRST, SECOND = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
-def mix64(*words: np.ndarray) -> np.ndarray:
-    """Fold unsigned 64-bit words into one; arithmetic wraps."""
-    h = np.zeros_like(np.asarray(words[0], np.uint64))
+def mix64(hub: np.ndarray, winner: np.ndarray, sequence: np.ndarray) -> np.ndarray:
+    """One unsigned 64-bit word of each hub, winner and sequence; arithmetic wraps.
+
+    The hub takes the upper half of the word, the winner the lower, the sequence is spread over both.
+    """
+    upper, lower, turn = (np.asarray(w, np.uint64) for w in (hub, winner, sequence))
     with np.errstate(over="ignore"):
-        for w in words:
-            h = (h ^ np.asarray(w, np.uint64)) + np.uint64(GOLDEN)
-            h = (h ^ (h >> np.uint64(30))) * np.uint64(FIRST)
-            h = (h ^ (h >> np.uint64(27))) * np.uint64(SECOND)
-            h ^= h >> np.uint64(31)
-    return h
+        h = (upper << np.uint64(32)) ^ lower ^ (turn * np.uint64(GOLDEN))
+        for shift, factor in ((30, FIRST), (27, SECOND)):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+        return h ^ (h >> np.uint64(31))
 
 
 def accepts(hub: Column, winner: Column, sequence: Column, every: int) -> Column:

@@ -180,12 +180,16 @@ def lru_contents(events: DataFrame, capacity: int) -> DataFrame:
 
 
 def exits_replay(events: DataFrame, slots: int, every: int) -> DataFrame:
-    """``events(stream, seq, hub, winner, ranked)``: what became of each winner."""
+    """``events(stream, seq, hub, winner, ranked)``: what became of each winner.
+
+    Hubs don't see each other's exits, so rows are dealt by stream and hub.
+    """
 
     def step(held: Exits, row):
-        return row[0], row[1], row[2], row[3], held.push(row[2], row[3], row[1], row[4] or []), len(held.pages[row[2]])
+        return row[0]["stream"], row[1], row[2], row[3], held.push(row[2], row[3], row[1], row[4] or []), len(held.pages[row[2]])
 
-    return fold(events, lambda: Exits(slots, every), step, "stream string, seq long, hub long, winner long, outcome string, slots int", ["stream", "seq", "hub", "winner", "ranked"])
+    dealt = events.withColumn("stream", F.struct("stream", "hub"))
+    return fold(dealt, lambda: Exits(slots, every), step, "stream string, seq long, hub long, winner long, outcome string, slots int", ["stream", "seq", "hub", "winner", "ranked"])
 
 
 def lifetimes(replayed: DataFrame) -> DataFrame:
