@@ -136,6 +136,7 @@ def prefixes(mixed: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array([shingles(t.as_py()).view(np.int64) for t in part.column(2)], pa.list_(pa.int64()))], ["doc_id", "root", "tokens"])
+        release()
 
     held = checkpoint(mixed.select("doc_id", "root", "text").mapInArrow(sets, "doc_id long, root long, tokens array<long>"))
     slots = held.select(F.explode("tokens").alias("token")).select(F.pmod("token", F.lit(COUNTERS)).alias("slot"))
@@ -157,6 +158,7 @@ def prefixes(mixed: DataFrame) -> DataFrame:
                 row = np.repeat(np.arange(len(found)), uses)
                 rank = np.arange(len(row)) - np.repeat(np.cumsum(uses) - uses, uses)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(np.array(sizes, np.int64)[row]), pa.array(rank.astype(np.int64))], ["token", "doc_id", "root", "n", "at"])
+        release()
 
     return checkpoint(held.mapInArrow(rarest, "token long, doc_id long, root long, n long, at long"))
 
