@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from waymark.llm import dedup, langid, packing, resemblance, toxicity
 from waymark.session import shared_dir
 
+#: Bytes of a row group in a stage's table. A task that writes or reads texts holds one whole, on the
+#: heap: Parquet's own 128 MB for each core are more than a small heap has.
+ROW_GROUP = 8 << 20
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -67,6 +71,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         folder = shared_dir(spark, f"pipeline-{name.replace(' ', '-')}")
-        stage(spark, docs, sf_dir).write.parquet(folder)
+        stage(spark, docs, sf_dir).write.option("parquet.block.size", ROW_GROUP).parquet(folder)
         docs = spark.read.parquet(folder)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,5 +1,6 @@
 """The pipeline against a plain version, stage by stage, on a small folder of its own."""
 
+import pyarrow.dataset as ds
 import pytest
 from tokenizers import Tokenizer
 
@@ -73,6 +74,17 @@ def test_nothing_to_do(spark, folder, tmp_path):
         assert found.columns == docs.columns and found.count() > 20
 
 
+def test_tables_between_stages_have_small_row_groups(spark, tmp_path, monkeypatch):
+    """A task holds a row group whole, so a large partition of texts must not become a single one."""
+    docs = spark.range(2000, numPartitions=1).selectExpr("id as doc_id", "array_join(transform(sequence(1, 150), k -> sha2(concat(id, '-', k), 256)), '') as text")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("copy", lambda spark, docs, sf_dir: docs.coalesce(1))] * 2)
+    monkeypatch.setattr(corpus_pipeline, "shared_dir", lambda spark, name: f"{tmp_path}/{name}")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 2000
+    sizes = [group.total_byte_size for part in ds.dataset(f"{tmp_path}/pipeline-copy").get_fragments() for group in part.row_groups]
+    assert sum(sizes) > 16 << 20 and max(sizes) < 12 << 20
+
+
 def test_stages_keep_the_columns(spark, folder):
     docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "language", "exact dedup", "near dedup", "packing"]
