@@ -53,6 +53,16 @@ def test_rows_are_told_apart_by_their_place(spark):
     assert corpus_pipeline.drop_near_copies(spark, orphans, "").count() == 1
 
 
+def test_texts_stay_in_place_when_few_rows_go(spark):
+    """The last join sends the rows that go to the texts, and not both to hashed partitions."""
+    long = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, long), (2, long + " x"), (3, "something else")], "doc_id long, text string")
+    left = corpus_pipeline.drop_near_copies(spark, docs, "")
+    plan = left._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted(r.doc_id for r in left.collect()) == [1, 3]
+
+
 def test_pairs_that_no_representative_joins(spark, monkeypatch):
     """Many edits of one text, most of them apart: prefixes find what is left, without a square of pairs."""
     rng = random.Random(6)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.session import ship
+from waymark.session import checkpoint, ship
 
 #: Rows of one slice that a Python operator works on at a time, and characters of text in it.
 SLICE_ROWS, SLICE_CHARS = 2048, 1 << 20
@@ -60,6 +60,31 @@ def release() -> None:
         pass
 
 
+#: Narrow rows of one partition of a settled table, and narrow rows that may be broadcast.
+EACH, MOST_IDS = 1 << 16, 1 << 18
+
+
+def few(df: DataFrame, rows: int, each: int = EACH) -> DataFrame:
+    """``df``, which has ``rows`` rows, in no more partitions than ``each`` rows apiece need; nothing is shuffled.
+
+    Whatever is exchanged next writes its files once a partition, so hundreds of almost empty ones
+    cost far more than their rows, and one partition needs no exchange at all.
+    """
+    return df.coalesce(max(1, -(-rows // each)))
+
+
+def settled(df: DataFrame, each: int = EACH) -> tuple[DataFrame, int]:
+    """A checkpoint of ``df`` in ``few`` partitions, and its rows."""
+    done = checkpoint(df)
+    rows = done.count()
+    return few(done, rows, each), rows
+
+
+def sent(df: DataFrame, rows: int) -> DataFrame:
+    """Narrow rows, broadcast where they are at most ``MOST_IDS``: the wide side of a join then stays in place."""
+    return F.broadcast(df) if rows <= MOST_IDS else df
+
+
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, text)`` only: other columns, whatever their names, never reach an operator."""
     return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from waymark.session import checkpoint
 
+from .base import few, settled
+
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
     """Point every neighbour of a vertex at the smallest vertex of its neighbourhood.
@@ -15,13 +17,15 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     The minimum is a partial aggregate, so a vertex with very many neighbours costs no task more
     than its own rows, and the join back is one that Spark can split.
     """
-    both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    if not small:
-        both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    down = F.struct(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    up = F.struct(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    # Exploded arrays, not unions: a union of single partitions would have to be exchanged again.
+    both = edges.select(F.explode(F.array(down) if small else F.array(down, up)).alias("e")).select("e.*")
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
     moved = both.join(least, "u")
     if small:
-        out = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        ends = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+        out = moved.select(F.explode(ends).alias("e")).select("e.*")
     else:
         out = moved.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return out.where("u <> v").distinct()
@@ -30,14 +34,16 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """``(v, root)`` for every vertex of ``edges(u, v)`` but the roots; a root is its component's minimum.
 
-    Each round is written to the shared checkpoint folder. The loop ends when a round leaves the
+    Each round is written to the shared checkpoint folder, and read in as few partitions as its rows
+    need, so that small tables are not exchanged over and over in hundreds of empty pieces. The loop ends when a round leaves the
     edges as they were, or fails after ``most`` rounds rather than return a partial answer.
     """
-    now = checkpoint(edges.where("u <> v").distinct())
+    now, _ = settled(edges.where("u <> v").distinct())
     mark = None
     for _ in range(most):
         now = checkpoint(_star(_star(now, small=False), small=True))
         found = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = few(now, found[0])
         if tuple(found) == mark:
             return now.select(F.col("u").alias("v"), F.col("v").alias("root"))
         mark = tuple(found)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from waymark.session import checkpoint, ship
 
-from .base import map_texts, release, texts
+from .base import few, map_texts, release, sent, settled, texts
 from .components import components
 from .simhash import _digests, linked
 
@@ -31,6 +31,8 @@ WORDS, LEAST = 5, 80
 BANDS, ROWS, SEED, PART = 24, 4, 42, 4096
 #: Orders in which buckets choose representatives, and counters of the sketch of shingle counts.
 ORDERS, COUNTERS = 4, 1 << 18
+#: Rows of a partition that hold a text, its shingles or its band keys, where their number is known.
+WIDE = 1 << 13
 _rng = np.random.default_rng(SEED)
 _A = _rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
@@ -96,7 +98,7 @@ def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def verified(held: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The ``pairs(u, v)`` whose texts in ``held(doc_id, text)`` are alike by exact comparison."""
+    """The distinct ``pairs(u, v)`` whose texts in ``held(doc_id, text)`` are alike by exact comparison."""
     ship(held.sparkSession)
     both = pairs.join(held.select(F.col("doc_id").alias("v"), F.col("text").alias("b")), "v").join(held.select(F.col("doc_id").alias("u"), F.col("text").alias("a")), "u")
 
@@ -114,7 +116,7 @@ def verified(held: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([u, v], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
         release()
 
-    return checkpoint(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long").distinct())
+    return settled(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"))[0]
 
 
 def main_roots(rows: DataFrame, key: str) -> DataFrame:
@@ -138,7 +140,7 @@ def prefixes(mixed: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array([shingles(t.as_py()).view(np.int64) for t in part.column(2)], pa.list_(pa.int64()))], ["doc_id", "root", "tokens"])
         release()
 
-    held = checkpoint(mixed.select("doc_id", "root", "text").mapInArrow(sets, "doc_id long, root long, tokens array<long>"))
+    held, _ = settled(mixed.select("doc_id", "root", "text").mapInArrow(sets, "doc_id long, root long, tokens array<long>"), WIDE)
     slots = held.select(F.explode("tokens").alias("token")).select(F.pmod("token", F.lit(COUNTERS)).alias("slot"))
     sketch = np.zeros(COUNTERS, np.int32)
     for slot, n in slots.groupBy("slot").count().where("count > 1").collect():
@@ -160,7 +162,7 @@ def prefixes(mixed: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(np.array(sizes, np.int64)[row]), pa.array(rank.astype(np.int64))], ["token", "doc_id", "root", "n", "at"])
         release()
 
-    return checkpoint(held.mapInArrow(rarest, "token long, doc_id long, root long, n long, at long"))
+    return settled(held.mapInArrow(rarest, "token long, doc_id long, root long, n long, at long"))[0]
 
 
 def apart(rows: DataFrame) -> DataFrame:
@@ -178,23 +180,24 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Texts without a word and rows without an id have no near copies. An empty table gives none.
     """
-    sig = checkpoint(signatures(docs, id_col, text_col))
+    sig, _ = settled(signatures(docs, id_col, text_col), WIDE)
     near = linked(sig.select("doc_id", "fp")).where("doc_id <> component_id")
     rows = sig.select("doc_id", "n", F.posexplode("keys").alias("band", "key"))
     buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    met = checkpoint(rows.join(buckets, "key").select("key", "doc_id", "n", "held", F.xxhash64(F.col("band") % ORDERS, "doc_id").alias("order")))
+    met, _ = settled(rows.join(buckets, "key").select("key", "doc_id", "n", "held", F.xxhash64(F.col("band") % ORDERS, "doc_id").alias("order")))
     # The text that meets most others in its buckets is the middle of its group.
     middle = met.groupBy("doc_id").agg(F.sum("held").alias("meets"))
     own = F.struct(F.col("doc_id").alias("rep"), F.col("n").alias("rep_n"))
     reps = met.join(middle, "doc_id").groupBy("key").agg(F.max_by(own, F.struct("meets", "doc_id")).alias("first"), F.min_by(own, F.struct("order", "doc_id")).alias("second"))
-    shared = checkpoint(met.join(reps, "key").select("key", "doc_id", "n", F.explode(F.array_distinct(F.array("first", "second"))).alias("r")).select("key", "doc_id", "n", "r.rep", "r.rep_n"))
-    pairs = checkpoint(_pairs(shared.where(_sized("n", "rep_n")).select("doc_id", "rep").union(near.select("doc_id", "component_id")), "doc_id", "rep"))
-    shared = met
-    used = shared.select("doc_id").union(pairs.select("u")).union(pairs.select("v")).distinct()
-    held = checkpoint(texts(docs, id_col, text_col).join(used, "doc_id", "left_semi"))
+    shared = met.join(reps, "key").select("doc_id", "n", F.explode(F.array_distinct(F.array("first", "second"))).alias("r")).select("doc_id", "n", "r.rep", "r.rep_n")
+    shared, _ = settled(_pairs(shared.where(_sized("n", "rep_n")), "doc_id", "rep"))
+    pairs, _ = settled(shared.union(_pairs(near, "doc_id", "component_id")).distinct())
+    used, n_used = settled(met.select("doc_id").union(pairs.select("u")).union(pairs.select("v")).distinct())
+    held = checkpoint(texts(docs, id_col, text_col).join(sent(used, n_used), "doc_id", "left_semi"))
+    held = few(held, n_used, WIDE)
     found = verified(held, pairs)
     roots = components(found).withColumnRenamed("v", "doc_id")
-    named = checkpoint(shared.select("key", "doc_id").join(roots, "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root")))
+    named, _ = settled(met.select("key", "doc_id").join(roots, "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root")))
     mixed = named.join(main_roots(named, "key"), "key").select("doc_id", "root").distinct()
     rest = apart(prefixes(held.join(mixed, "doc_id")))
     more = verified(held, rest.join(pairs, ["u", "v"], "left_anti"))
@@ -213,8 +216,11 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     numbered = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), row.alias("row"))
     copies = near_copies(numbered, "row", "text").select(F.col("doc_id").alias("row"), F.col("component_id").alias("root"))
     roots = copies.select(F.col("root").alias("row"), "root").distinct()
-    members = checkpoint(copies.unionByName(roots).join(numbered.select("row", "id"), "row"))
+    own, n_own = settled(copies.unionByName(roots))
+    members = checkpoint(numbered.select("row", "id").join(sent(own, n_own), "row"))
+    members = few(members, n_own)
     keep = members.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("keep"))
-    go = members.join(keep, "root").where("row <> keep.row").select(F.col("row").alias("__row"))
-    left = docs.select(F.struct("*").alias("__kept"), row.alias("__row")).join(go, "__row", "left_anti")
+    go, n_go = settled(members.join(keep, "root").where("row <> keep.row").select(F.col("row").alias("__row")))
+    # Sent to the texts, so that whole rows are not exchanged for the few that go.
+    left = docs.select(F.struct("*").alias("__kept"), row.alias("__row")).join(sent(go, n_go), "__row", "left_anti")
     return left.select("__kept.*")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from waymark.session import checkpoint
 
-from .base import map_texts, texts
+from .base import map_texts, settled, texts
 from .components import components
 
 WORDS, RADIUS, SEED = 3, 3, 42
@@ -316,9 +316,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def linked(table: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``doc_id, fp, component_id`` for each row of ``table(doc_id, fp)``."""
-    points = checkpoint(table.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    points, _ = settled(table.groupBy("fp").agg(F.min("doc_id").alias("least")), SHARD // 4)
     roots = components(near(points.select("fp"), radius, SHARD)).select(F.col("v").alias("fp"), "root")
-    named = checkpoint(points.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    named, _ = settled(points.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     found = named.join(least, "root").select("fp", "component_id")
     return table.join(found, "fp").select("doc_id", "fp", "component_id")
