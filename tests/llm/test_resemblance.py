@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 from waymark.llm import resemblance
+from waymark.llm.components import components
 
 from .test_simhash import union
 
@@ -53,6 +54,41 @@ def test_rows_are_told_apart_by_their_place(spark):
     assert corpus_pipeline.drop_near_copies(spark, orphans, "").count() == 1
 
 
+def tasks(spark, run):
+    """The result of ``run``, and how many tasks of shuffled and other stages it took."""
+    sc = spark.sparkContext
+    sc.setJobGroup("counted", "")
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = run()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    found = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup("counted")]
+    infos = [sc.statusTracker().getStageInfo(s) for job in found if job for s in job.stageIds]
+    return out, sum(i.numCompletedTasks for i in infos if i)
+
+
+def test_small_edge_tables_are_not_exchanged_in_every_round(spark):
+    """A chain takes several rounds, and none of them deals its few rows over all partitions."""
+    edges = spark.createDataFrame([(k, k + 1) for k in range(-9, 51)], "u long, v long")
+    got, n = tasks(spark, lambda: components(edges).collect())
+    assert {(r.v, r.root) for r in got} == {(k, -9) for k in range(-8, 52)}
+    assert n < 60
+
+
+def test_large_edge_tables_go_on_by_rounds(spark):
+    """Rounds alone, and rounds up to a remainder that one task finishes, give the same roots."""
+    rng = random.Random(2)
+    edges = [(rng.randrange(-200, 200), rng.randrange(-200, 200)) for _ in range(150)] + [(k + 1, k) for k in range(300, 340)]
+    table = spark.createDataFrame(edges, "u long, v long")
+    roots = union(sorted({v for e in edges for v in e}), edges)
+    want = sorted((v, r) for v, r in roots.items() if v != r)
+    for each in (0, 175, 1 << 16):
+        assert sorted((r.v, r.root) for r in components(table, each=each).collect()) == want
+
+
 def test_texts_stay_in_place_when_few_rows_go(spark):
     """The last join sends the rows that go to the texts, and not both to hashed partitions."""
     long = " ".join(f"w{k}" for k in range(60))

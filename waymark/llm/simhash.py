@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from waymark.session import checkpoint
 
 from .base import map_texts, settled, texts
-from .components import components
+from .components import components, forest
 
 WORDS, RADIUS, SEED = 3, 3, 42
 #: Rows of a shard above which it is split, rows of all samples of a round, and the fewest for a split.
@@ -215,25 +215,6 @@ def links(home: np.ndarray, guest: np.ndarray, radius: int = RADIUS, mask: np.ui
     return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The same components as stars: (vertex, root) with the smallest vertex as root."""
-    names, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = flat[: len(a)], flat[len(a) :]
-    label = np.arange(len(names))
-    while True:
-        low = np.minimum(label[x], label[y])
-        new = label.copy()
-        for end in (x, y):
-            np.minimum.at(new, end, low)
-            np.minimum.at(new, label[end], low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    moved = label != np.arange(len(names))
-    return names[moved], names[label[moved]]
-
-
 def placed(points: DataFrame, radius: int, shard: int) -> DataFrame:
     """``shard, fp, home``: the distinct fingerprints ``points(fp)`` in shards, of each half's tree.
 
